@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siltstone.llm import near_duplicates as nd
+from siltstone.llm import term_counts
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -32,9 +33,37 @@ def p1_groups_strict(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nd.groups(table(spark, sf_dir, "search_hits"), "hit_id", "text").withColumnRenamed("id", "hit_id")
 
 
+def p2_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return term_counts.term_frequencies(table(spark, sf_dir, "queries"), "id", "query")
+
+
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p2_terms(spark, sf_dir).where(F.col("mark").isNotNull()).select("term", "mark")
+
+
+P2_SQL = r"""
+with records as (select distinct id, query from queries where query is not null),
+terms as (select id, unnest(regexp_extract_all(lower(query), '[a-z0-9][a-z0-9\-]{2,}')) as term from records),
+counted as (select term, count(*) as occurrences, count(distinct id) as records from terms group by term),
+total as (select count(distinct id) as n from records)
+select term, occurrences, records,
+  case when records < 3 then 'rare' when records > 0.02 * n then 'common' end as mark
+from counted, total
+"""
+
+
 def queries() -> dict[str, Query]:
-    return {"p1_found": p1_found, "p1_groups": p1_groups, "p1_groups_strict": p1_groups_strict}
+    return {
+        "p1_found": p1_found,
+        "p1_groups": p1_groups,
+        "p1_groups_strict": p1_groups_strict,
+        "p2_found": p2_found,
+        "p2_terms": p2_terms,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "p2_found": f"select term, mark from ({P2_SQL}) where mark is not null",
+        "p2_terms": P2_SQL,
+    }
