@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siltstone.llm import near_duplicates as nd
-from siltstone.llm import term_counts
+from siltstone.llm import packing, term_counts, tokens
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -52,6 +52,25 @@ from counted, total
 """
 
 
+def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokens.encode(table(spark, sf_dir, "documents"), "doc_id", "text")
+
+
+def p8_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The texts decoded from their ids, beside whether they are the texts; null counts as empty."""
+    documents = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("source_text"))
+    decoded = tokens.decode(tokens.encode(documents, "doc_id", "source_text"), "doc_id")
+    return decoded.join(documents, "doc_id").select("doc_id", (F.col("text") == F.col("source_text")).alias("same"), F.length("text").alias("n_chars"))
+
+
+def p9_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(table(spark, sf_dir, "documents"))
+
+
+def p9_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.fills(p9_containers(spark, sf_dir))
+
+
 def queries() -> dict[str, Query]:
     return {
         "p1_found": p1_found,
@@ -59,6 +78,10 @@ def queries() -> dict[str, Query]:
         "p1_groups_strict": p1_groups_strict,
         "p2_found": p2_found,
         "p2_terms": p2_terms,
+        "p8_ids": p8_ids,
+        "p8_round_trip": p8_round_trip,
+        "p9_containers": p9_containers,
+        "p9_fill": p9_fill,
     }
 
 
@@ -66,4 +89,5 @@ def oracle_sql() -> dict[str, str]:
     return {
         "p2_found": f"select term, mark from ({P2_SQL}) where mark is not null",
         "p2_terms": P2_SQL,
+        "p8_round_trip": "select doc_id, true as same, length(coalesce(text, '')) as n_chars from documents",
     }
