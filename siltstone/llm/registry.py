@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siltstone.llm import near_duplicates as nd
-from siltstone.llm import packing, term_counts, tokens
+from siltstone.llm import garbled, packing, term_counts, tokens
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -71,6 +71,14 @@ def p9_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.fills(p9_containers(spark, sf_dir))
 
 
+def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p10_restored(spark, sf_dir).select("doc_id")
+
+
+def p10_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return garbled.repair(table(spark, sf_dir, "documents"), "doc_id", "text")
+
+
 def queries() -> dict[str, Query]:
     return {
         "p1_found": p1_found,
@@ -82,6 +90,8 @@ def queries() -> dict[str, Query]:
         "p8_round_trip": p8_round_trip,
         "p9_containers": p9_containers,
         "p9_fill": p9_fill,
+        "p10_found": p10_found,
+        "p10_restored": p10_restored,
     }
 
 
