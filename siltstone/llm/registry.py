@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siltstone.llm import near_duplicates as nd
-from siltstone.llm import garbled, packing, term_counts, tokens
+from siltstone.llm import garbled, packing, rank_fusion, term_counts, tokens
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -52,6 +52,42 @@ from counted, total
 """
 
 
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rank_fusion.leaders(table(spark, sf_dir, "scored_hits"))
+
+
+def p6_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rank_fusion.ranking(table(spark, sf_dir, "scored_hits"))
+
+
+P6_SQL = r"""
+with best as (
+  select query_id, retriever, chunk_id, max(case when retriever = 'age_days' then -score else score end) as v
+  from scored_hits where query_id is not null and retriever is not null and chunk_id is not null and score is not null and not isnan(score)
+  group by all
+), ranked as (
+  select query_id, chunk_id, (rank() over w - 1 + (count(*) over (partition by query_id, retriever, v) + 1) / 2.0)
+    / count(*) over (partition by query_id, retriever) as r
+  from best window w as (partition by query_id, retriever order by v desc)
+), ordered as (
+  select query_id, chunk_id, r, row_number() over (partition by query_id, chunk_id order by r) as k,
+    count(*) over (partition by query_id, chunk_id) as n
+  from ranked
+), tails as (
+  select query_id, chunk_id, n, r, (select sum(cast(factorial(cast(n as integer)) as double) / (cast(factorial(cast(j as integer)) as double)
+    * cast(factorial(cast(n - j as integer)) as double)) * pow(r, j) * pow(1 - r, n - j)) from range(20) t(j) where j between k and n) as p
+  from ordered
+), valued as (
+  select query_id, chunk_id, n, round(least(1.0, min(p) * n), 12) as significance, round(avg(r), 12) as mean_rank
+  from tails group by query_id, chunk_id, n
+)
+select e.query_id, e.chunk_id, cast(coalesce(n, 0) as integer) as n_scores, significance, mean_rank,
+  row_number() over (partition by e.query_id order by coalesce(significance, 2), coalesce(mean_rank, 2), e.chunk_id) as position
+from (select distinct query_id, chunk_id from scored_hits where query_id is not null and retriever is not null and chunk_id is not null) e
+left join valued using (query_id, chunk_id)
+"""
+
+
 def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.encode(table(spark, sf_dir, "documents"), "doc_id", "text")
 
@@ -86,6 +122,8 @@ def queries() -> dict[str, Query]:
         "p1_groups_strict": p1_groups_strict,
         "p2_found": p2_found,
         "p2_terms": p2_terms,
+        "p6_found": p6_found,
+        "p6_ranking": p6_ranking,
         "p8_ids": p8_ids,
         "p8_round_trip": p8_round_trip,
         "p9_containers": p9_containers,
@@ -99,5 +137,7 @@ def oracle_sql() -> dict[str, str]:
     return {
         "p2_found": f"select term, mark from ({P2_SQL}) where mark is not null",
         "p2_terms": P2_SQL,
+        "p6_found": f"select query_id, chunk_id from ({P6_SQL}) where position = 1",
+        "p6_ranking": P6_SQL,
         "p8_round_trip": "select doc_id, true as same, length(coalesce(text, '')) as n_chars from documents",
     }
