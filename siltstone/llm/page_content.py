@@ -57,7 +57,7 @@ def cue(line: str, own: list[str]) -> tuple[bool, bool]:
     return prose, "starts:short:side" in own
 
 
-def train(pages: int = 700, rounds: int = 120, penalty: float = 0.02, seed: int = 7) -> Crf:
+def train(pages: int = 450, rounds: int = 90, penalty: float = 0.02, seed: int = 7) -> Crf:
     """Full-batch Adam over padded pages; forward and backward passes in the log domain."""
     drawn = pl.Pages(seed)
     data = [drawn.page() for _ in range(pages)]
@@ -111,7 +111,7 @@ def train(pages: int = 700, rounds: int = 120, penalty: float = 0.02, seed: int
 
 
 @lru_cache(maxsize=2)
-def trained(pages: int = 700, seed: int = 7) -> Crf:
+def trained(pages: int = 450, seed: int = 7) -> Crf:
     return train(pages, seed=seed)
 
 

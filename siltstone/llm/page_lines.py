@@ -16,7 +16,7 @@ NAV = """home about contact blog archive archives search login log in sign up si
 pricing status roadmap changelog docs documentation team community support services colophon open source bench notes press careers faq help products company
 startseite kontakt anmelden suche texte werkstatt arbeiten archiv über uns accueil recherche connexion écrits atelier réalisations à propos
 open menu toggle navigation menu skip to main content skip to content dark mode light mode search this site theme language""".split("\n")
-COOKIES = """cookie cookies consent privacy partners small files device kleine dateien gerät témoins de connexion datenschutzerklärung politique de confidentialité
+COOKIES = """cookie cookies consent privacy partners small files device kleine dateien témoins de connexion datenschutzerklärung politique de confidentialité
 accept all reject all only necessary let me choose save choices manage preferences ok got it decline optional allow agree withdraw alle akzeptieren tout accepter personnaliser einstellungen data notice before you continue browsing on""".split("\n")
 SIDE = """related reading popular this week recent posts more from the lab keep reading you may also like next in this series in this series browse by topic
 categories tags latest releases other projects on this page most read read next further reading latest posts see also trending ähnliche beiträge mehr aus à lire aussi dans la même série""".split("\n")
@@ -26,7 +26,8 @@ FOOT = """rss feed sitemap imprint terms of use privacy policy accessibility sta
 built on made by copyright impressum mentions légales tous droits réservés nutzungsbedingungen legal shelf of servers""".split("\n")
 
 KINDS = {"nav": NAV, "cookie": COOKIES, "side": SIDE, "social": SOCIAL, "foot": FOOT}
-WORDS = {kind: frozenset(w for line in lines for w in re.findall(r"[^\W\d_]+", line.lower())) for kind, lines in KINDS.items()}
+COMMON = frozenset("a all and as at auf aus be before by de des die du for from had has have hat how i im in into is it its la le les me no not of off on once or our over so than that the their then there they to un und une up us was we were what when which while who why will with you your zu là ihrem mehr like made".split())
+WORDS = {kind: frozenset(w for line in lines for w in re.findall(r"[^\W\d_]+", line.lower()) if len(w) > 1) - COMMON for kind, lines in KINDS.items()}
 STARTS = {
     "side": ("related", "popular", "recent posts", "more from", "keep reading", "you may also", "next in", "in this series", "browse by", "categories", "tags", "latest", "other projects", "on this page", "most read", "read next", "further reading", "see also", "trending", "ähnliche", "à lire", "dans la même"),
     "cookie": ("accept", "reject", "only necessary", "let me choose", "save choices", "manage preferences", "ok, got it", "decline", "allow all", "got it"),
@@ -37,6 +38,7 @@ ARTICLE, BOILER = "PTL", "NCHISF"
 LABELS = "PTLNCHISF"  # paragraph, title, list item; navigation, cookie notice, side head, side item, social, footer
 SEPARATORS = re.compile(r"\s[|·»›>/•]\s| {2,}|\]\([^)]*\)\s*\[")
 TAG = re.compile(r"<(/?)([A-Za-z][A-Za-z0-9]*)[^>]*>?")
+NOTICE = re.compile(r"cookie|privacy|consent|datenschutz|kleine dateien|témoins|confidentialit|store small files|before you continue|decline optional")
 LEAD = re.compile(r"^(?:the|our|why|notes on|moving|how|what|a|an|my|on|in)\s", re.I)
 
 
@@ -55,7 +57,7 @@ def line_features(line: str) -> list[str]:
     n = len(text.split())
     if n > 40:  # no furniture is so long
         return [*out, "n:13", "end:" + (text[-1:] if text[-1:] in ".?!:" else "-"), "sentence", "sentence:long", "several"]
-    words = re.findall(r"[^\W\d_]+", text.lower())
+    words = [w for w in re.findall(r"[^\W\d_]+", text.lower()) if w not in COMMON]
     out.append("n:" + ("0" if n == 0 else str(n) if n <= 4 else "5" if n <= 7 else "8" if n <= 12 else "13"))
     last = text[-1:]
     end = "." if last == "." else "?" if last in "?!" else ":" if last == ":" else "…" if last == "…" else "-"
@@ -87,13 +89,15 @@ def line_features(line: str) -> list[str]:
             out.append(f"{kind}:{'all' if share == 1 else 'most' if share >= 0.6 else 'some' if share >= 0.34 else 'few'}")
             if not sentence:
                 out.append(f"{kind}:phrase")
+    if not any(hits.values()):
+        out.append("none" + (":sentence" if sentence else ""))
     low = text.lower()
     for kind, starts in STARTS.items():
         if low.startswith(starts):
             out.append("starts:" + kind)
             if n <= 5:
                 out.append("starts:short:" + kind)
-    if "cookie" in low or "privacy" in low or "consent" in low or "datenschutz" in low or "témoins" in low or "confidentialit" in low:
+    if NOTICE.search(low):
         out.append("notice")
         if sentence:
             out.append("notice:sentence:" + ("strong" if re.search(r"\b(?:we|us|our|this site|your|you|wir|ihre?m?|nous|ce site|sets?)\b", low) else "weak"))
@@ -144,12 +148,13 @@ def places(lines: list[str], cues: list[tuple[bool, bool]]) -> list[tuple]:
 
 def place_features(place: tuple) -> list[str]:
     part, first, last, after, before, prose, since, trail, next_split = place
-    out = [f"at:{part}", f"next:{after}", f"prev:{before}", f"next:{after}:{part}", f"prev:{before}:{part}"]
+    out = ["prose" if prose else "not prose", f"at:{part}", f"next:{after}", f"prev:{before}", f"next:{after}:{part}", f"prev:{before}:{part}"]
     if not prose:
         out += [f"since:{since}", f"since:{since}:{after}:{part}"]
     return out + ["first"] * first + ["last"] * last + ["trail"] * trail + ["next:parts"] * next_split
 
 
+PLAIN = tuple("the of and its by in with over so that on to from before while after one two each small data page files site device keep time open close next policy work read".split())
 FOREIGN = (
     tuple("der die das und wenn gerät menü datei seite heute prüft öffnet nähe plan über nacht morgen weg fällt gehäuse größe einstellung suche text archiv ändert".split()),
     tuple("le la les et pourquoi fichier page mémoire accueil série étape recherche tâche déjà sans délai câble modèle règle libère écran site politique".split()),
@@ -193,7 +198,7 @@ class Pages:
             few = self.foreign
             body = " ".join(self.r.choice(few) if self.r.random() < 0.75 else self.noun() for _ in range(self.r.randint(6, 13)))
             return body.capitalize() + "."
-        body = " ".join(self.noun() if self.r.random() < 0.6 else self.r.choice(("the", "of", "and", "its", "by", "in", "with", "over", "so", "that")) for _ in range(self.r.randint(6, 13)))
+        body = " ".join(self.noun() if self.r.random() < 0.6 else self.r.choice(PLAIN) for _ in range(self.r.randint(6, 13)))
         return body.capitalize() + self.r.choice((".", ".", ".", ".", ".", "?", "; " + self.noun() + " does not."))
 
     def labels(self, k: int) -> list[str]:
@@ -324,7 +329,7 @@ class Pages:
             out.append((" ".join(self.sentence() for _ in range(r.choice((1, 2, 2, 3, 4, 5)))), "P"))
             x = r.random()
             if x < 0.10:
-                out.append((self.title(), "T"))
+                out.append((self.title() + r.choice(("", "", "", "", f" © {self.noun()}", f" <code>{self.noun()}</code>")), "T"))
             elif x < 0.22:
                 out += [(f"{self.noun().capitalize()} {self.noun()}", "L") for _ in range(r.randint(2, 3))]
             elif x < 0.26:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siltstone.llm import near_duplicates as nd
-from siltstone.llm import garbled, packing, rank_fusion, term_counts, tokens
+from siltstone.llm import garbled, packing, page_content, rank_fusion, term_counts, tokens
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -52,6 +52,14 @@ from counted, total
 """
 
 
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return page_content.furniture_lines(table(spark, sf_dir, "search_hits"), "hit_id", "text", "file_path")
+
+
+def p4_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return page_content.main_bodies(table(spark, sf_dir, "search_hits"), "hit_id", "text", "file_path")
+
+
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rank_fusion.leaders(table(spark, sf_dir, "scored_hits"))
 
@@ -122,6 +130,8 @@ def queries() -> dict[str, Query]:
         "p1_groups_strict": p1_groups_strict,
         "p2_found": p2_found,
         "p2_terms": p2_terms,
+        "p4_found": p4_found,
+        "p4_bodies": p4_bodies,
         "p6_found": p6_found,
         "p6_ranking": p6_ranking,
         "p8_ids": p8_ids,
