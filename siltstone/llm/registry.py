@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siltstone.llm import near_duplicates as nd
-from siltstone.llm import garbled, packing, page_content, rank_fusion, term_counts, tokens
+from siltstone.llm import garbled, markup, packing, page_content, rank_fusion, term_counts, tokens
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -60,6 +60,15 @@ def p4_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
     return page_content.main_bodies(table(spark, sf_dir, "search_hits"), "hit_id", "text", "file_path")
 
 
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return markup.kinds(table(spark, sf_dir, "search_hits"), "hit_id", "text")
+
+
+def p5_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
+    hits = table(spark, sf_dir, "search_hits").dropDuplicates(["hit_id"])
+    return markup.clean(hits, "hit_id", "text", F.col("source_repo"))
+
+
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rank_fusion.leaders(table(spark, sf_dir, "scored_hits"))
 
@@ -132,6 +141,8 @@ def queries() -> dict[str, Query]:
         "p2_terms": p2_terms,
         "p4_found": p4_found,
         "p4_bodies": p4_bodies,
+        "p5_found": p5_found,
+        "p5_clean": p5_clean,
         "p6_found": p6_found,
         "p6_ranking": p6_ranking,
         "p8_ids": p8_ids,
