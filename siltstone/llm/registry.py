@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siltstone.llm import near_duplicates as nd
-from siltstone.llm import garbled, markup, packing, page_content, rank_fusion, term_counts, tokens
+from siltstone.llm import garbled, markup, packing, page_content, personal, rank_fusion, term_counts, tokens
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -105,6 +105,14 @@ left join valued using (query_id, chunk_id)
 """
 
 
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return personal.found(table(spark, sf_dir, "queries"), "id", "query", table(spark, sf_dir, "given_names"))
+
+
+def p7_masked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return personal.mask(table(spark, sf_dir, "queries"), "id", "query", table(spark, sf_dir, "given_names"))
+
+
 def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.encode(table(spark, sf_dir, "documents"), "doc_id", "text")
 
@@ -145,6 +153,8 @@ def queries() -> dict[str, Query]:
         "p5_clean": p5_clean,
         "p6_found": p6_found,
         "p6_ranking": p6_ranking,
+        "p7_found": p7_found,
+        "p7_masked": p7_masked,
         "p8_ids": p8_ids,
         "p8_round_trip": p8_round_trip,
         "p9_containers": p9_containers,
