@@ -9,6 +9,7 @@ from html.parser import HTMLParser
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from siltstone.functions import text as tx
 
@@ -49,12 +50,12 @@ def body_text(source: str | None) -> str | None:
     return "\n".join(filter(None, (" ".join(x.split()) for x in "".join(reader.out).splitlines())))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def html_to_text(source: pd.Series) -> pd.Series:
     return source.map(body_text, na_action="ignore")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def unescape(source: pd.Series) -> pd.Series:
     return source.map(html.unescape, na_action="ignore")
 

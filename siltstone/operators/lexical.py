@@ -1,9 +1,8 @@
 """BM25 over chunks: corpus statistics, inverse document frequencies, postings, and ranked answers to a batch of
 queries.
 
-The queries are a batch, so their distinct term lists are scored once, however often one is asked. The
-postings join is on the term; what a term needs beside its postings (its inverse document frequency)
-is joined first, on the small side. Sums combine before the shuffle by (query, chunk).
+The queries are a batch, so their distinct term lists are scored once, however often one is asked, and in
+blocks against all chunks, each task keeping the best of its own.
 
 Ranks are by the score rounded to 9 places, then by chunk_id: sums differ in the last bits by the order of
 their terms. Chunks without terms don't count. Null texts have no terms. A query without terms, or
@@ -13,10 +12,16 @@ Empty tables give no rows.
 
 from __future__ import annotations
 
+from collections import Counter
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from siltstone import runtime
 from siltstone.functions import text as tx
 
 # The usual constants of Okapi BM25, and the share of the mean that stands for a negative idf.
@@ -47,26 +52,87 @@ def idf(chunks: DataFrame) -> DataFrame:
     return raw.crossJoin(F.broadcast(mean)).select("term", "df", F.round(F.when(F.col("raw") < 0, EPSILON * F.col("mean")).otherwise(F.col("raw")), 12).alias("idf"))  # one row
 
 
+def weights(chunks: DataFrame, queries: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(asked, weighted): (query_id, bag) of queries (query_id, query) with a term, and (bag, term, weight): the term's
+    frequency in the bag times its idf. A bag is a query's sorted terms; queries with the same bag share it."""
+    asked = queries.select("query_id", tx.tokens(F.col("query")).alias("q")).where(F.size("q") > 0).select("query_id", F.array_join(F.array_sort("q"), " ").alias("bag"))
+    wanted = asked.select("bag").distinct().select("bag", F.explode(F.split("bag", " ")).alias("term")).groupBy("bag", "term").agg(F.count("*").alias("qf"))
+    return asked, wanted.join(idf(chunks).select("term", "idf"), "term").select("bag", "term", (F.col("qf") * F.col("idf")).alias("weight"))
+
+
 def scores(chunks: DataFrame, queries: DataFrame) -> DataFrame:
-    """(query_id, chunk_id, score) of every chunk that shares a term with a query (query_id, query)."""
-    asked = queries.select("query_id", tx.tokens(F.col("query")).alias("q")).where(F.size("q") > 0)
-    lists = asked.select(F.array_join(F.array_sort("q"), " ").alias("bag")).distinct()
-    wanted = lists.select("bag", F.explode(F.split("bag", " ")).alias("term")).groupBy("bag", "term").agg(F.count("*").alias("qf"))
+    """(query_id, chunk_id, score) of every chunk that shares a term with a query, all of them, as a join on the term.
+    For rankings ``bm25`` moves far less."""
+    asked, weighted = weights(chunks, queries)
     stats = tokenised(chunks).agg(F.avg("n").alias("avg"))
-    weighted = wanted.join(idf(chunks).select("term", "idf"), "term")
     hit = postings(chunks).join(weighted, "term").crossJoin(F.broadcast(stats))  # one row
-    part = F.col("qf") * F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("n") / F.col("avg")))
+    part = F.col("weight") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("n") / F.col("avg")))
     by_bag = hit.groupBy("bag", "chunk_id").agg(F.round(F.sum(part), 9).alias("score"))
-    return asked.select("query_id", F.array_join(F.array_sort("q"), " ").alias("bag")).join(by_bag, "bag").select("query_id", "chunk_id", "score")
+    return asked.join(by_bag, "bag").select("query_id", "chunk_id", "score")
 
 
-def top_k(scored: DataFrame, k: int) -> DataFrame:
+def top_k(scored: DataFrame, k: int, by: str = "query_id") -> DataFrame:
     """``scored`` with ``rank`` from 1, the best ``k`` of each query. Spark cuts each query to k rows in every
     task before the shuffle, so a query with very many hits is never gathered."""
-    w = W.partitionBy("query_id").orderBy(F.desc("score"), "chunk_id")
+    w = W.partitionBy(by).orderBy(F.desc("score"), "chunk_id")
     return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
-def bm25(chunks: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
-    """(query_id, chunk_id, score, rank)."""
-    return top_k(scores(chunks, queries), k)
+def _block(terms: DataFrame, table: dict[str, tuple[np.ndarray, np.ndarray]], bags: np.ndarray, average: float, k: int) -> DataFrame:
+    """The best ``k`` chunks of each Arrow batch for each bag of a block: (bag_no, chunk_id, score)."""
+    shared = terms.sparkSession.sparkContext.broadcast(table)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        index = shared.value
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                ids = np.array(part.column(0).to_pylist(), dtype=object)
+                sums, met = np.zeros((part.num_rows, len(bags))), np.zeros((part.num_rows, len(bags)), bool)
+                for row, (words, n) in enumerate(zip(part.column(1).to_pylist(), part.column(2).to_pylist())):
+                    share = K1 * (1 - B + B * n / average)
+                    for term, tf in Counter(words).items():
+                        if (found := index.get(term)) is not None:
+                            sums[row, found[0]] += found[1] * (tf * (K1 + 1) / (tf + share))
+                            met[row, found[0]] = True
+                sums = np.round(sums, 9)
+                out: tuple[list, list, list] = ([], [], [])
+                for q in np.nonzero(met.any(0))[0]:
+                    rows = np.nonzero(met[:, q])[0]
+                    s = sums[rows, q]
+                    if len(rows) > k:
+                        keep = s >= np.partition(s, len(s) - k)[len(s) - k]
+                        rows, s = rows[keep], s[keep]
+                    best = sorted(zip(-s, ids[rows]))[:k]
+                    out[0].extend([int(bags[q])] * len(best))
+                    out[1].extend(c for _, c in best)
+                    out[2].extend(-v for v, _ in best)
+                yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.string()), pa.array(out[2], pa.float64())], ["bag_no", "chunk_id", "score"])
+
+    return terms.select("chunk_id", "terms", "n").mapInArrow(run, "bag_no bigint, chunk_id string, score double")
+
+
+def bm25(chunks: DataFrame, queries: DataFrame, k: int = 10, block: int = 2_048) -> DataFrame:
+    """(query_id, chunk_id, score, rank), exact. The bags are taken in blocks of about ``block``; a block's weights (at
+    most ``block`` times the terms of a query) go to all tasks, each scores its own chunks against the whole block and
+    sends on the best k a bag and batch. So no pair of query and chunk is shuffled that can't be in an answer."""
+    asked, weighted = weights(chunks, queries)
+    held = runtime.materialise(weighted.withColumn("bag_no", F.xxhash64("bag")).drop("bag"), "weights")
+    average = tokenised(chunks).agg(F.avg("n")).first()[0]
+    total = held.select("bag_no").distinct().count()
+    parts, terms = [], runtime.spread(tokenised(chunks))
+    for number in range(-(-total // block)):
+        mine = F.pmod(F.col("bag_no"), F.lit(-(-total // block))) == number
+        rows = held.where(mine).toPandas()  # a block
+        bags, at = np.unique(rows["bag_no"].to_numpy(), return_inverse=True)
+        order = np.argsort(rows["term"].to_numpy(), kind="stable")
+        words, starts = np.unique(rows["term"].to_numpy()[order].astype(str), return_index=True)
+        table = {w: (at[o], rows["weight"].to_numpy()[o]) for w, o in zip(words.tolist(), np.split(order, starts[1:]))}
+        parts.append(_block(terms, table, bags, average, k))
+    if not parts:
+        return queries.select("query_id", F.lit("").alias("chunk_id"), F.lit(0.0).alias("score"), F.lit(1).alias("rank")).limit(0)
+    every = parts[0]
+    for p in parts[1:]:
+        every = every.unionByName(p)
+    best = top_k(every, k, "bag_no")
+    return asked.withColumn("bag_no", F.xxhash64("bag")).drop("bag").join(best, "bag_no").select("query_id", "chunk_id", "score", "rank")

@@ -55,9 +55,10 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, block: int = BLOC
     asked = queries.where(F.col("vector").isNotNull()).select("query_id", "vector")
     parts = []
     total = asked.count()
-    numbered = asked.withColumn("_n", F.row_number().over(W.orderBy("query_id"))) if total > block else asked.withColumn("_n", F.lit(1))
-    for at in range(0, total, block):
-        rows = numbered.where((F.col("_n") > at) & (F.col("_n") <= at + block)).select("query_id", "vector").collect()  # at most ``block``
+    blocks = -(-total // block)
+    numbered = asked.withColumn("_n", F.pmod(F.xxhash64("query_id"), F.lit(max(1, blocks))))
+    for at in range(blocks):
+        rows = numbered.where(F.col("_n") == at).select("query_id", "vector").collect()  # about ``block``
         shared = spark.sparkContext.broadcast(([r[0] for r in rows], [list(r[1]) for r in rows]))
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
@@ -105,7 +106,7 @@ def codes(vectors: DataFrame, id_col: str, tables: int, bits: int, seed: int = 1
     return vectors.select(id_col, "vector").mapInArrow(run, f"`{id_col}` bigint, vector {kind}, buckets array<bigint>")
 
 
-def hyperplanes(vectors: DataFrame, queries: DataFrame, k: int = 10, tables: int = 24, bits: int = 5) -> DataFrame:
+def hyperplanes(vectors: DataFrame, queries: DataFrame, k: int = 10, tables: int = 40, bits: int = 5) -> DataFrame:
     """Approximate ``top_k`` by a join on buckets: every vector is indexed, and a query sees those with which it shares
     a bucket in at least one table. Both sides keep only the bucket numbers up to the join; the vectors meet at
     the end, for distinct candidates."""

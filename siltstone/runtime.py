@@ -56,6 +56,16 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` in at least as many partitions as there are cores, for costly work on a table of few files. A table
+    with enough files or splits stays as it is, and so does what a shuffle has spread: no shuffle is added at scale."""
+    plan = df._jdf.queryExecution().executedPlan()
+    if "Exchange" in plan.toString():
+        return df
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df._jdf.queryExecution().toRdd().getNumPartitions() < cores else df
+
+
 def hadoop_fs(spark: SparkSession, path: str):
     """(file system, path object) of Hadoop for ``path``."""
     jvm = spark.sparkContext._jvm
