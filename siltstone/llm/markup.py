@@ -31,6 +31,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from siltstone import runtime
+
 # The element names of HTML that text may still hold.
 ELEMENTS = """a abbr article aside b big blockquote body br button caption center cite code col dd del details div dl dt em figcaption figure font footer form h1 h2 h3 h4 h5 h6
 head header hr html i iframe img input ins kbd label legend li link main mark meta nav noscript object ol option p pre q s samp script section select small source span strike
@@ -302,7 +304,7 @@ def _mapped(texts: DataFrame, f, out: str, kind: pa.DataType) -> DataFrame:
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([f(t.as_py()) for t in batch.column(1)], kind)], ["id", "value"])
 
-    return texts.select("id", "text").mapInArrow(run, f"id bigint, value {out}")
+    return runtime.spread(texts.select("id", "text")).mapInArrow(run, f"id bigint, value {out}")
 
 
 def kinds(table: DataFrame, id_col: str, text_col: str) -> DataFrame:

@@ -137,7 +137,8 @@ def signatures(texts: DataFrame, s: Settings) -> DataFrame:
                 keys.append([xxhash.xxh64_intdigest(sig[k].tobytes(), k) - (1 << 63) for k in range(s.bands)])
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(classes, pa.int64()), pa.array(keys, pa.list_(pa.int64()))], ["id", "cls", "keys"])
 
-    return texts.select("id", "text").where(F.col("id").isNotNull() & F.col("text").isNotNull()).mapInArrow(run, "id bigint, cls bigint, keys array<bigint>")
+    held = texts.select("id", "text").where(F.col("id").isNotNull() & F.col("text").isNotNull())
+    return runtime.spread(held).mapInArrow(run, "id bigint, cls bigint, keys array<bigint>")
 
 
 def shingle_rows(texts: DataFrame, s: Settings) -> DataFrame:

@@ -24,6 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from siltstone import runtime
 from siltstone.llm import page_lines as pl
 
 SITE_PATH = r"(?i)(?:\.x?html?|/)$"
@@ -161,7 +162,7 @@ class Decoder:
 
 def _pages(hits: DataFrame, id_col: str, text_col: str, path_col: str) -> DataFrame:
     site = hits.where(is_site_page(F.col(path_col)) & F.col(id_col).isNotNull() & (F.col(text_col) != ""))
-    return site.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"))
+    return runtime.spread(site.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text")))
 
 
 def furniture_lines(hits: DataFrame, id_col: str, text_col: str, path_col: str, crf: Crf | None = None) -> DataFrame:

@@ -30,6 +30,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from siltstone import runtime
+
 VOCABULARY = os.environ.get("SILTSTONE_VOCABULARY", "/opt/tokenizers/byte_bpe_50k.tiktoken")
 
 # The published pre-token pattern of the vocabulary.
@@ -119,7 +121,8 @@ def pieces(texts: DataFrame, chunk: int = CHUNK, overlap: int = OVERLAP) -> Data
 
 
 def _numbered(table: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    return table.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"))
+    texts = runtime.spread(table.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text")))
+    return texts.select(F.monotonically_increasing_id().alias("row"), "id", "text")
 
 
 def encode(table: DataFrame, id_col: str, text_col: str, vocabulary: str = VOCABULARY, chunk: int = CHUNK, overlap: int = OVERLAP) -> DataFrame:
@@ -136,7 +139,8 @@ def token_counts(table: DataFrame, id_col: str, text_col: str, keep: list[str],
     """(id_col, *keep, n): the number of tokens of every row; no ids are kept."""
     ranks = read_vocabulary(vocabulary)
     is_long = F.coalesce(F.length("_text") > chunk, F.lit(False))
-    rows = table.select(F.monotonically_increasing_id().alias("_row"), F.col(id_col).cast("bigint").alias(id_col), *keep, F.col(text_col).alias("_text"))
+    texts = runtime.spread(table.select(F.col(id_col).cast("bigint").alias(id_col), *keep, F.col(text_col).alias("_text")))
+    rows = texts.select(F.monotonically_increasing_id().alias("_row"), id_col, *keep, "_text")
     short = _encoded(rows.where(~is_long).drop("_row"), ranks, True)
     long = rows.where(is_long)
     cut = pieces(long.select(F.col("_row").alias("row"), F.col(id_col).alias("id"), F.col("_text").alias("text")), chunk, overlap)
