@@ -50,8 +50,8 @@ HTML_SIGNS = re.compile(
 MARKDOWN_SIGNS = re.compile(
     r"^ {0,3}\#{1,6} +\S[^\n]*(?:\n[ \t]*\n|\n?\Z)"  # heading with a blank line after
     r"|^ {0,3}(?:```|~~~)"
-    r"|!?\[[^\]\[\n]*\]\([^)\s\n]*(?: +\"[^\"\n]*\")?\)"
-    r"|\[[^\]\[\n]+\]\[[^\]\[\n]*\]|^ {0,3}\[[^\]\n]+\]: +\S|\[\^[^\]\s]+\]"
+    r"|(?<![\w\])])!?\[[^\]\[\n]*\]\([^)\s\n]*(?: +\"[^\"\n]*\")?\)"
+    r"|(?<![\w\])])\[[^\]\[\n]+\]\[[^\]\[\n]*\]|^ {0,3}\[[^\]\n]+\]: +\S|\[\^[^\]\s]+\]"
     r"|(?<![\w*])\*\*(?=[^\s*])[^*\n]*(?<=[^\s*])\*\*(?![\w*])"
     r"|(?<![\w.])__(?=[^\s_])[^_\n]*(?<=[^\s_])__(?![\w(])"
     r"|~~(?=\S)[^~\n]+(?<=\S)~~"
@@ -129,7 +129,7 @@ def clean_text(text: str | None) -> str | None:
         text = _from_markdown(text)
     text = re.sub("\x00(\\d+)\x00", lambda m: kept[int(m[1])], text)
     text = re.sub("\x00(\\d+)\x00", lambda m: kept[int(m[1])], text)  # what was kept inside what was kept
-    return re.sub(r"\n{3,}", "\n\n", re.sub(r"[ \t]+\n", "\n", text)).strip("\n")
+    return re.sub(r"\n{3,}", "\n\n", re.sub(r"[ \t]+(?=\n|\Z)", "", text)).strip("\n")
 
 
 def _from_html(t: str) -> str:
@@ -161,7 +161,8 @@ def _from_latex(t: str) -> str:
     depth = {"part": 1, "chapter": 1, "section": 2, "subsection": 3, "subsubsection": 4, "paragraph": 5}
     t = re.sub(r"\\(part|chapter|section|subsection|subsubsection|paragraph)\*?\{([^{}\n]*)\}?", lambda m: "\n" + "#" * depth[m[1]] + " " + m[2] + "\n", t)
     t = re.sub(r"\\(?:begin|end)\{[^{}\n]*\}?(?:\[[^\]\n]*\]|\{[^{}\n]*\})*[ \t]*\n?", "", t)
-    t = re.sub(r"[ \t]*\\item(?:\[[^\]\n]*\])?[ \t]*", "- ", t)
+    t = re.sub(r"^[ \t]*\\item\b(?:\[[^\]\n]*\])?[ \t]*", "- ", t, flags=re.M)
+    t = re.sub(r"[ \t]*\\item\b(?:\[[^\]\n]*\])?[ \t]*", "\n- ", t)
     t = re.sub(r"\\(?:label|pageref|vspace|hspace|usepackage|documentclass)\*?(?:\[[^\]\n]*\])?\{[^{}\n]*\}", "", t)
     t = re.sub(r"~?\\(?:cite[a-z]*|ref|eqref)\*?(?:\[[^\]\n]*\])?\{([^{}\n]*)\}", r"[\1]", t)
     t = re.sub(r"\\(?:footnote)\{([^{}\n]*)\}", r" (\1)", t)
@@ -251,7 +252,7 @@ def style_tree(texts: DataFrame) -> DataFrame:
     """(host, path, pages, importance) of every node of each host's merged tree. ``texts`` has the
     columns id, host, text. At a leaf of m pages, importance is 1 less the mean entropy, to base m, of
     the spread of its contents over pages; at an inner node the entropy of how its children are laid
-    out, joined with what its leaves have. A node of one page has importance 1."""
+    out. A branch has the importance of the most important node in it. A node of one page has importance 1."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -272,7 +273,10 @@ def style_tree(texts: DataFrame) -> DataFrame:
     by_kind = values.groupBy("host", "path", "kind").agg(m.alias("m"), F.max("n").alias("most"), spread.alias("spread"), F.count("*").alias("ways"))
     # Of ways of layout with shares n / m the entropy is log m - spread.
     importance = F.when(F.col("m") <= 1, 1.0).when(F.col("kind") == "c", 1 - F.col("spread") / F.log("m")).otherwise((F.log("m") - F.col("spread")) / F.log("m"))
-    nodes = by_kind.select("host", "path", "kind", "m", importance.alias("importance"))
+    # A branch is as important as the most important node in it: each node also counts for those above it.
+    parts = F.split("path", "/")
+    above = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda k: F.array_join(F.slice(parts, 1, k), "/"))
+    nodes = by_kind.select("host", "m", importance.alias("importance"), F.explode(above).alias("path"))
     return nodes.groupBy("host", "path").agg(F.max("m").alias("pages"), F.max("importance").alias("importance"))
 
 
