@@ -66,6 +66,13 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if df._jdf.queryExecution().toRdd().getNumPartitions() < cores else df
 
 
+def wide(df: DataFrame, *by: str) -> DataFrame:
+    """``df`` in as many partitions as there are cores or shuffle partitions, before costly Python: small rows after
+    an aggregate would else be coalesced into one task, though each costs much."""
+    n = max(df.sparkSession.sparkContext.defaultParallelism, cores_for_shuffle(df.sparkSession))
+    return df.repartition(n, *by)
+
+
 def hadoop_fs(spark: SparkSession, path: str):
     """(file system, path object) of Hadoop for ``path``."""
     jvm = spark.sparkContext._jvm
