@@ -94,6 +94,16 @@ def test_garbled(spark):
     assert garbled.repair(df.limit(0), "doc_id", "text").count() == 0
 
 
+def test_garbled_copies(spark):
+    """Copies of a text damaged by a one-to-one chain don't train the model as sound, be they whole or of all lines but one."""
+    clean, _, _, _ = garbled_rows()
+    text = clean[7][1].replace("“", "").replace("”", "").replace("–", "-")
+    bad = text.encode("cp1252").decode("mac_roman")
+    rows = clean + [(5000 + i, bad) for i in range(150)] + [(6000 + i, f"{bad}\nline {i}") for i in range(150)]
+    got = {r.doc_id: r.restored for r in garbled.repair(spark.createDataFrame(rows, "doc_id long, text string"), "doc_id", "text").collect()}
+    assert got == {5000 + i: text for i in range(150)} | {6000 + i: f"{text}\nline {i}" for i in range(150)}
+
+
 # -- personal ----------------------------------------------------------------------------------
 def personal_rows(n=900):
     r = random.Random(8)
