@@ -104,6 +104,15 @@ def test_garbled_copies(spark):
     assert got == {5000 + i: text for i in range(150)} | {6000 + i: f"{text}\nline {i}" for i in range(150)}
 
 
+def test_garbled_beside_a_rare_symbol(spark):
+    """All chains are tried on all windows, not only those that mend the least likely one."""
+    clean, _, _, _ = garbled_rows()
+    lines = [clean[k][1].split("\n")[0].replace("“", "").replace("”", "") for k in range(6)]
+    rows = clean + [(5000 + k, "seen by \u16a0\u16c7\u16bb here: " + x.encode().decode("cp1252")) for k, x in enumerate(lines) if "à" not in x]
+    got = {r.doc_id: r.restored for r in garbled.repair(spark.createDataFrame(rows, "doc_id long, text string"), "doc_id", "text").collect()}
+    assert got and got == {i: "seen by \u16a0\u16c7\u16bb here: " + lines[i - 5000] for i, _ in rows if i >= 5000}
+
+
 # -- personal ----------------------------------------------------------------------------------
 def personal_rows(n=900):
     r = random.Random(8)
