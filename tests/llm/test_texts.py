@@ -149,3 +149,14 @@ def test_personal(spark):
     some = next(i for i in want if want[i] == {"person", "email"} and got[i] == want[i])
     assert re.fullmatch(r"\[PERSON\] <\[EMAIL\]> asked about \w+", masked[some])
     assert personal.found(df.limit(0), "id", "query", names).count() == 0
+
+
+def test_personal_name_in_a_hot_text(spark):
+    """A text logged often doesn't make the surname in it an ordinary word, and an ordinary word is only a vote against."""
+    given, rows, _ = personal_rows()
+    rows = rows + [(7000 + i, "meeting with Dr. Harrowstrade re rudder") for i in range(60)] + [(8000, "notes Dr. Harrowstrade left on canvas"), (8001, "meeting with J. Harrowstrade re ledger")]
+    names = spark.createDataFrame([(g, 1) for g in given], "given_name string, n_seen long")
+    got = {r.id for r in personal.found(spark.createDataFrame(rows, "id long, query string"), "id", "query", names).where("kind = 'person'").collect()}
+    assert {*range(7000, 7060), 8000, 8001} <= got
+    lexicon = personal.Lexicon(frozenset(), frozenset(["harrowstrade"]), {"^har": 1.0, "trade$": 1.0})
+    assert [f for *_, f in personal.names_in("Dr. Harrowstrade left, J. Harrowstrade stays", [], lexicon)] == ["title", "initial"]
