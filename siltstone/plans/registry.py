@@ -83,7 +83,8 @@ def html_to_text(spark: SparkSession, d: str) -> DataFrame:
 
 
 def display_excerpt(spark: SparkSession, d: str) -> DataFrame:
-    return documents(spark, d).where(F.col("text").isNotNull() & ~F.col("text").contains("&")).select("doc_id", tx.display_excerpt(tx.squeeze(tx.without_tags(F.col("text")))).alias("excerpt"))
+    """Over all documents; the SQL leaves out texts with an ampersand, whose references it can't resolve."""
+    return documents(spark, d).where(F.col("text").isNotNull()).select("doc_id", tx.display_excerpt(html.plain(F.col("text"))).alias("excerpt"))
 
 
 def prompt_excerpt(spark: SparkSession, d: str) -> DataFrame:

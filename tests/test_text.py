@@ -58,3 +58,19 @@ def test_iso_suffix_and_ids(spark):
     assert [r.t for r in rows] == ["1970-01-01T00:00:00Z", "1970-01-01T23:59:59Z"]
     assert [r.s for r in rows] == [".ts", ""]
     assert rows[0].c == hashlib.sha1(b"r:a/b.TS:0").hexdigest()
+
+
+def test_display_excerpt_of_all_documents(spark, tmp_path):
+    """Against brute force: tags to blanks, then references, then white space, then the cut."""
+    import html as references
+
+    from siltstone.plans import registry
+
+    rows = [(1, "plain text"), (2, "a &amp; b &lt;c&gt; <b>d</b>"), (3, "R&D stays"), (4, None), (5, ""), (6, "<p>x</p> &eacute;&nbsp;y " + "word &amp; " * 80), (7, "&#169; " * 90)]
+    spark.createDataFrame([(*r, "r", "p.md") for r in rows], "doc_id long, text string, source string, file_path string").write.parquet(f"{tmp_path}/documents.parquet")
+    want = {}
+    for i, t in rows:
+        if t is not None:
+            t = re.sub(r"\s+", " ", references.unescape(re.sub("<[^>]+>", " ", t))).strip()
+            want[i] = t if len(t) <= 260 else t[:259].rstrip() + "..."
+    assert {r.doc_id: r.excerpt for r in registry.display_excerpt(spark, str(tmp_path)).collect()} == want
