@@ -113,6 +113,11 @@ def test_garbled_beside_a_rare_symbol(spark):
     assert got and got == {i: "seen by \u16a0\u16c7\u16bb here: " + lines[i - 5000] for i, _ in rows if i >= 5000}
 
 
+def test_garbled_model_holds_what_larger_inputs_have():
+    """About 390,000 distinct n-grams are expected at scale 10; none of them may be dropped."""
+    assert garbled.Settings().model_grams >= 400_000
+
+
 # -- personal ----------------------------------------------------------------------------------
 def personal_rows(n=900):
     r = random.Random(8)
