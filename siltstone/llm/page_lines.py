@@ -55,8 +55,6 @@ def line_features(line: str) -> list[str]:
         out.append("tag:" + (t if t in ("p", "li", "ul", "ol", "nav", "a", "div", "h1", "h2", "h3", "footer", "aside", "td", "th", "tr", "table", "span", "button") else "other"))
     text = (TAG.sub(" ", line) if tags else line).strip()
     n = len(text.split())
-    if n > 40:  # no furniture is so long
-        return [*out, "n:13", "end:" + (text[-1:] if text[-1:] in ".?!:" else "-"), "sentence", "sentence:long", "several"]
     words = [w for w in re.findall(r"[^\W\d_]+", text.lower()) if w not in COMMON]
     out.append("n:" + ("0" if n == 0 else str(n) if n <= 4 else "5" if n <= 7 else "8" if n <= 12 else "13"))
     last = text[-1:]

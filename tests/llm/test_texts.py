@@ -28,6 +28,21 @@ def test_page_table(spark):
     assert page_content.furniture_lines(df.limit(0), "hit_id", "text", "file_path").count() == 0
 
 
+LONG_CONSENT = "We use cookies and similar technologies to store small files on your device and to measure visits, and our partners may use them too, with your consent, which you can withdraw at any time under cookie settings or in the privacy policy, where you can also manage preferences, accept all or reject all optional cookies before you continue browsing on this site."
+LINK_FARM = " | ".join("Home;About;Contact;Blog;Archive;Search;Login;Sign up;Projects;Writing;Talks;Uses;Gallery;Shop;Pricing;Status;Roadmap;Changelog;Docs;Team;Community;Support;Services;Press;Careers;FAQ;Help;Products;Company;Register".split(";"))
+
+
+def test_long_furniture():
+    """Furniture of more than 40 words is no paragraph, a paragraph of that length is."""
+    assert min(len(x.split()) for x in (LONG_CONSENT, LINK_FARM)) > 40
+    decoder = page_content.Decoder(page_content.trained())
+    lines = PAGE.replace("We use cookies to measure visits. Accept all or manage preferences.", LONG_CONSENT).replace("Home | About | Contact", LINK_FARM).split("\n")
+    long = "The keel was laid in spring and it has carried the workshop ever since " + "and the boats that came after it were drawn on the same floor " * 4 + "without a pause"
+    lines = [x if not x.startswith("The keel was") else long + "." for x in lines if x]
+    said = dict(zip(lines, (bool(page_content.FURNITURE[k]) for k in decoder.labels(lines))))
+    assert said[LONG_CONSENT] and said[LINK_FARM] and not said[long + "."]
+
+
 # -- markup ------------------------------------------------------------------------------------
 CASES = {
     "html": ["<p>one</p>", "a &amp; b", "&lt;div&gt;x&lt;/div&gt;", "end <div class=\"pan", "x <br/> y", "<!-- c -->", 'lass="n">rest'],
