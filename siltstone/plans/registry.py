@@ -78,7 +78,7 @@ def adr_records(spark: SparkSession, d: str) -> DataFrame:
 
 
 def html_to_text(spark: SparkSession, d: str) -> DataFrame:
-    hits = table(spark, d, "search_hits").dropDuplicates(["hit_id"]).where(F.col("text").rlike(r"</?[A-Za-z]|&[#A-Za-z0-9]+;"))
+    hits = table(spark, d, "search_hits").dropDuplicates(["hit_id"])
     return hits.select("hit_id", html.html_to_text("text").alias("text"))
 
 

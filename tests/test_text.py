@@ -60,6 +60,14 @@ def test_iso_suffix_and_ids(spark):
     assert rows[0].c == hashlib.sha1(b"r:a/b.TS:0").hexdigest()
 
 
+def test_html_to_text_of_all_hits(spark, tmp_path):
+    from siltstone.plans import registry
+
+    rows = [(1, "a  b\n\n c"), (2, "x<!-- gone -->y"), (3, "<!doctype html>z"), (4, "<p>p</p>"), (5, None), (6, "")]
+    spark.createDataFrame(rows, "hit_id long, text string").write.parquet(f"{tmp_path}/search_hits.parquet")
+    assert {r.hit_id: r.text for r in registry.html_to_text(spark, str(tmp_path)).collect()} == {1: "a b\nc", 2: "xy", 3: "z", 4: "p", 5: None, 6: ""}
+
+
 def test_display_excerpt_of_all_documents(spark, tmp_path):
     """Against brute force: tags to blanks, then references, then white space, then the cut."""
     import html as references
