@@ -72,7 +72,7 @@ WIKI_SIGNS = re.compile(
 LATEX_SIGNS = re.compile(
     r"\\[A-Za-z]{2,}\*?(?:\[[^\]\n]*\])?\{|\\(?:item|maketitle|centering|hline|toprule|midrule|bottomrule|newline|noindent|ldots|quad|par)\b(?![\\\w])"
     r"|^\\[\[\]][ \t]*$|\\\(.+?\\\)|(?<![\w$\\])\$\$"
-    r"|(?<![\w$\\])\$(?=[^\s$])(?=[^$\n]*(?:\\[A-Za-z]+|[_^]))[^$\n]{1,200}(?<=[^\s$\\])\$(?![\w$])"
+    r"|(?<![\w$\\])\$(?=[^\s$])(?=[^$\n]*(?:\\[A-Za-z]+|[_^]))[^$\n]+(?<=[^\s$\\])\$(?![\w$])"
     r"|(?<=\w)\\[%_&#](?=[\s\w]|\Z)|(?<= )\\&(?= )|``(?=[^\s`])[^`'\n]+''",
     re.M,
 )
@@ -115,7 +115,7 @@ def clean_text(text: str | None) -> str | None:
     if "latex" in kinds:
         text = re.sub(r"(?s)\\begin\{(verbatim|lstlisting)\}(.*?)\\end\{\1\}", lambda m: keep(_fence(m[2])), text)
         text = re.sub(r"(?s)\\begin\{((?:equation|align|gather|math|displaymath)\*?)\}.*?\\end\{\1\}|\$\$.+?\$\$|\\\[.+?\\\]", lambda m: keep(m[0]), text)
-        text = re.sub(r"(?<![\w$\\])\$(?=[^\s$])[^$\n]{1,200}(?<=[^\s$\\])\$(?![\w$])|\\\(.+?\\\)", lambda m: keep(m[0]), text)
+        text = re.sub(r"(?<![\w$\\])\$(?=[^\s$])[^$\n]+(?<=[^\s$\\])\$(?![\w$])|\\\(.+?\\\)", lambda m: keep(m[0]), text)
     if "markdown" in kinds:
         text = re.sub(r"(?ms)^ {0,3}(```|~~~)[^\n]*\n(.*?)(?:^ {0,3}\1[ \t]*$|\Z)", lambda m: keep(_fence(m[2])), text)
         text = re.sub(r"(?<!`)`([^`\n]+)`(?!`)", lambda m: keep(m[1]), text)

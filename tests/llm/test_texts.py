@@ -70,6 +70,15 @@ def test_clean_text():
     assert markup.clean_text("<pre><code>a = b(1) # *x*</code></pre>") == "```\na = b(1) # *x*\n```"
 
 
+def test_long_inline_formula():
+    """A formula between single dollars stays whole, however long it is."""
+    formula = "$" + " + ".join(f"\\frac{{a_{k}}}{{b_{k}}}" for k in range(30)) + "$"
+    plain = "$" + " + ".join(f"x_{k}" for k in range(60)) + "$"
+    assert len(formula) > 202 and len(plain) > 202
+    assert markup.clean_text(f"\\emph{{Here}} {formula} holds") == f"Here {formula} holds"
+    assert markup.kinds_of(f"Here {plain} holds") == ["latex"]
+
+
 def test_markup_table_and_style_tree(spark):
     page = "<div class=\"nav\"><p>Home and about</p></div><div class=\"main\"><p>{} body</p></div>"
     rows = [(i, page.format(f"text number {i}"), "h") for i in range(8)] + [(20, None, "h"), (21, "", None), (22, "plain", "h"), (None, "<p>x</p>", "h"), (23, "<p>x</p>", None), (23, "<p>x</p>", None), (24, "<p>" + "long " * 20_000, "g")]
