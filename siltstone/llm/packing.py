@@ -34,7 +34,7 @@ from pyspark.sql import Window as W
 from siltstone import runtime
 from siltstone.llm import tokens
 
-CAPACITY, LANE_TOKENS = 2_048, 4_000_000
+CAPACITY, LANE_TOKENS, LANE_BLOCK = 2_048, 4_000_000, 4_096
 OUT = "doc_id bigint, piece int, container_id bigint, slot int, start_token bigint, n_tokens bigint"
 
 
@@ -74,10 +74,29 @@ def fill(sizes: list[int], sources: list[str], share: dict[str, float], owed: di
     return placed + [(i, 0, first + k) for k, i in enumerate(empty)]
 
 
+def _before(rows: DataFrame, by: list[str], value: str, out: str) -> DataFrame:
+    """``rows`` (lane, *by, value) with ``out``: the sum of ``value`` over the lanes before, within ``by``. Lanes are summed
+    by blocks first, so that no window holds more than a block of lanes, or a row for each block."""
+    blocked = rows.withColumn("block", F.floor(F.col("lane") / LANE_BLOCK))
+    sums = blocked.groupBy(*by, "block").agg(F.sum(value).alias("_sum"))
+    ahead = W.partitionBy(*by).orderBy("block").rowsBetween(W.unboundedPreceding, -1)
+    carried = sums.select(*by, "block", F.coalesce(F.sum("_sum").over(ahead), F.lit(0)).alias("_carried"))
+    within = W.partitionBy(*by, "block").orderBy("lane").rowsBetween(W.unboundedPreceding, -1)
+    return blocked.withColumn("_within", F.coalesce(F.sum(value).over(within), F.lit(0))).join(carried, [*by, "block"]).withColumn(out, F.col("_carried") + F.col("_within")).drop("block", "_carried", "_within")
+
+
+def owed_by_lane(by_lane: DataFrame, total: int) -> DataFrame:
+    """(lane, source, share, owed) of ``by_lane`` (lane, source, n): what each source that occurs in a lane is owed
+    when the lane begins. Only what occurs is joined: by source, and by lane."""
+    shares = by_lane.groupBy("source").agg((F.sum("n") / F.lit(max(total, 1))).alias("share"))
+    lanes = _before(by_lane.groupBy("lane").agg(F.sum("n").alias("lane_n")), [], "lane_n", "all_before").select("lane", "all_before")
+    own = _before(by_lane, ["source"], "n", "own_before").join(shares, "source").join(lanes, "lane")
+    return own.select("lane", "source", "share", (F.col("share") * F.col("all_before") - F.col("own_before")).alias("owed"))
+
+
 def pack(sized: DataFrame, capacity: int = CAPACITY, lane_tokens: int = LANE_TOKENS) -> DataFrame:
     """``sized``: (doc_id, source, n). Columns of OUT: where each piece of each document lies; its
     tokens are those from start_token on, n_tokens of them."""
-    spark = sized.sparkSession
     last = F.greatest(F.floor((F.col("n") - 1) / capacity), F.lit(0)).cast("int")
     items = sized.select("doc_id", F.coalesce("source", F.lit("\0null")).alias("source"), "n", F.explode(F.sequence(F.lit(0), last)).alias("piece"))
     items = items.select("doc_id", "source", "piece", F.least(F.col("n") - F.col("piece") * capacity, F.lit(capacity)).alias("n"))
@@ -85,16 +104,10 @@ def pack(sized: DataFrame, capacity: int = CAPACITY, lane_tokens: int = LANE_TOK
     lanes = max(1, -(-total // lane_tokens))
     laned = items.withColumn("lane", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(lanes)))
     by_lane = runtime.materialise(laned.groupBy("lane", "source").agg(F.sum("n").alias("n")), "lanes")
-    # Every lane and source has a row here, so that what is owed carries over lanes without the source.
-    grid = spark.range(lanes).withColumnRenamed("id", "lane").join(F.broadcast(by_lane.groupBy("source").agg((F.sum("n") / F.lit(max(total, 1))).alias("share"))), F.lit(True))
-    full = grid.join(by_lane, ["lane", "source"], "left").fillna(0, ["n"])
-    of_lane = full.groupBy("lane").agg(F.sum("n").alias("lane_n"))
-    before = W.partitionBy("source").orderBy("lane").rowsBetween(W.unboundedPreceding, -1)
-    owed = full.join(of_lane, "lane").select("lane", "source", "share", (F.col("share") * F.coalesce(F.sum("lane_n").over(before), F.lit(0)) - F.coalesce(F.sum("n").over(before), F.lit(0))).alias("owed"))
-
-    def lane_of(pdf: pd.DataFrame) -> pd.DataFrame:
+
+    def lane_of(pdf: pd.DataFrame, owed: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["n", "doc_id", "piece"], kind="stable", ignore_index=True)
-        shares, debts = dict(zip(pdf.source, pdf.share)), dict(zip(pdf.source, pdf.owed))
+        shares, debts = dict(zip(owed.source, owed.share)), dict(zip(owed.source, owed.owed))
         placed = fill(pdf.n.tolist(), pdf.source.tolist(), shares, debts, capacity)
         at = pd.DataFrame(placed, columns=["item", "window", "slot"]).set_index("item").sort_index()
         return pd.DataFrame({
@@ -102,7 +115,7 @@ def pack(sized: DataFrame, capacity: int = CAPACITY, lane_tokens: int = LANE_TOK
             "slot": at.slot.to_numpy().astype(np.int32), "start_token": pdf.piece.astype(np.int64) * capacity, "n_tokens": pdf.n,
         })
 
-    return laned.join(owed, ["lane", "source"]).groupBy("lane").applyInPandas(lane_of, OUT)
+    return laned.groupBy("lane").cogroup(owed_by_lane(by_lane, total).groupBy("lane")).applyInPandas(lane_of, OUT)
 
 
 def pack_documents(documents: DataFrame, capacity: int = CAPACITY, lane_tokens: int = LANE_TOKENS, vocabulary: str = tokens.VOCABULARY) -> DataFrame:

@@ -132,6 +132,13 @@ def p9_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.fills(p9_containers(spark, sf_dir))
 
 
+def p9_complete(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document beside whether its pieces follow one another without gaps and hold all of its tokens."""
+    placed = p9_containers(spark, sf_dir).groupBy("doc_id").agg(F.sum("n_tokens").alias("packed"), F.max(F.col("start_token") + F.col("n_tokens")).alias("end"), F.max("n_tokens").alias("most"))
+    encoded = p8_ids(spark, sf_dir).select("doc_id", F.size("ids").alias("n"))
+    return encoded.join(placed, "doc_id", "left").select("doc_id", F.coalesce((F.col("packed") == F.col("n")) & (F.col("end") == F.col("n")) & (F.col("most") <= packing.CAPACITY), F.lit(False)).alias("same"))
+
+
 def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p10_restored(spark, sf_dir).select("doc_id")
 
@@ -159,6 +166,7 @@ def queries() -> dict[str, Query]:
         "p8_round_trip": p8_round_trip,
         "p9_containers": p9_containers,
         "p9_fill": p9_fill,
+        "p9_complete": p9_complete,
         "p10_found": p10_found,
         "p10_restored": p10_restored,
     }
@@ -171,4 +179,5 @@ def oracle_sql() -> dict[str, str]:
         "p6_found": f"select query_id, chunk_id from ({P6_SQL}) where position = 1",
         "p6_ranking": P6_SQL,
         "p8_round_trip": "select doc_id, true as same, length(coalesce(text, '')) as n_chars from documents",
+        "p9_complete": "select doc_id, true as same from documents",
     }

@@ -89,45 +89,59 @@ def _encoded(rows: DataFrame, ranks: bytes, counts_only: bool) -> DataFrame:
 
 
 def pieces(texts: DataFrame, chunk: int = CHUNK, overlap: int = OVERLAP) -> DataFrame:
-    """(row, id, piece, text) of ``texts``: (row, id, text), texts longer than ``chunk``: pieces that
-    may be encoded one by one."""
-    last = F.floor((F.length("text") - 1) / chunk)
-    chunks = texts.select("row", "id", F.explode(F.sequence(F.lit(0).cast("bigint"), last)).alias("i"), "text")
-    first = F.greatest(F.col("i") * chunk - overlap, F.lit(0))
-    windows = chunks.select("row", "id", "i", first.alias("first"), F.expr(f"substring(text, cast(greatest(i * {chunk} - {overlap}, 0) + 1 as int), cast((i + 1) * {chunk} + {overlap} - greatest(i * {chunk} - {overlap}, 0) as int))").alias("window"))
-    spread = windows.repartition(F.col("row"), F.col("i"))
+    """(row, *kept, piece, text) of ``texts``: (row, *kept, text), texts longer than ``chunk``: pieces that
+    may be encoded one by one. What is kept travels with every piece, so nothing is joined back later."""
+    kept = texts.columns[:-1]
+    held = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in texts.schema.fields[:-1])
+
+    def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for r in range(batch.num_rows):
+                text = batch.column(len(kept))[r].as_py()
+                for at in range(0, len(text), 64 * chunk):  # a batch out holds 64 windows
+                    starts = range(at, min(at + 64 * chunk, len(text)), chunk)
+                    cut = [text[max(0, b - overlap) : b + chunk + overlap] for b in starts]
+                    one = [pa.array([batch.column(k)[r].as_py()] * len(cut), batch.column(k).type) for k in range(len(kept))]
+                    yield pa.RecordBatch.from_arrays([*one, pa.array([b // chunk for b in starts], pa.int64()), pa.array(cut, pa.string())], [*kept, "i", "window"])
+
+    spread = texts.mapInArrow(slices, f"{held}, i bigint, window string").repartition(F.col("row"), F.col("i"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             heads, tails = [], []
-            for i, begin, window in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), batch.column(4)):
+            for i, window in zip(batch.column(len(kept)).to_pylist(), batch.column(len(kept) + 1)):
+                begin = max(0, i * chunk - overlap)
                 ends = [begin + b for b in boundaries(window.as_py())]
                 heads.append([b for b in ends if i * chunk <= b < i * chunk + overlap])
                 tails.append([b for b in ends if (i + 1) * chunk <= b < (i + 1) * chunk + overlap])
             lists = pa.list_(pa.int64())
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(heads, lists), pa.array(tails, lists)], [*batch.schema.names, "head", "tail"])
 
-    split = spread.mapInArrow(run, "row bigint, id bigint, i bigint, first bigint, window string, head array<bigint>, tail array<bigint>")
+    split = spread.mapInArrow(run, f"{held}, i bigint, window string, head array<bigint>, tail array<bigint>")
     order = W.partitionBy("row").orderBy("i")
     common = F.array_min(F.array_intersect("head", F.lag("tail").over(order)))
-    cut = split.select("row", "id", "i", "first", "window", F.when(F.col("i") == 0, F.lit(0).cast("bigint")).otherwise(common).alias("cut"))
+    first = F.greatest(F.col("i") * chunk - overlap, F.lit(0))
+    cut = split.select(*kept, "i", first.alias("first"), "window", F.when(F.col("i") == 0, F.lit(0).cast("bigint")).otherwise(common).alias("cut"))
     begun = cut.withColumn("lost", F.min(F.when(F.col("cut").isNull(), F.col("i"))).over(order)).withColumn("begin", F.coalesce("cut", F.col("i") * chunk))
     ended = begun.withColumn("end", F.lead("begin").over(order))
     part = F.expr("substring(window, cast(begin - first + 1 as int), cast(coalesce(end, first + length(window)) - begin as int))")
     piece = F.least(F.col("i"), F.coalesce(F.col("lost") - 1, F.col("i")))
-    kept = ended.select("row", "id", piece.alias("piece"), "i", part.alias("part"))
-    whole = kept.groupBy("row", "id", "piece").agg(F.sort_array(F.collect_list(F.struct("i", "part"))).alias("parts"))
-    return whole.select("row", "id", "piece", F.concat_ws("", "parts.part").alias("text"))
+    parts = ended.select(*kept, piece.alias("piece"), "i", part.alias("part"))
+    whole = parts.groupBy(*kept, "piece").agg(F.sort_array(F.collect_list(F.struct("i", "part"))).alias("parts"))
+    return whole.select(*kept, "piece", F.concat_ws("", "parts.part").alias("text"))
 
 
-def _numbered(table: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    texts = runtime.spread(table.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text")))
-    return texts.select(F.monotonically_increasing_id().alias("row"), "id", "text")
+def _numbered(table: DataFrame, id_col: str, text_col: str, keep: list[str]) -> DataFrame:
+    """(row, id, *keep, text). A row's number is its place in the scan, given before rows are spread. It only tells
+    rows of one evaluation apart: nothing is ever joined on it."""
+    keep_as = [F.col(c).alias(f"keep_{c}") for c in keep]
+    rows = table.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("bigint").alias("id"), *keep_as, F.col(text_col).alias("text"))
+    return runtime.spread(rows)
 
 
 def encode(table: DataFrame, id_col: str, text_col: str, vocabulary: str = VOCABULARY, chunk: int = CHUNK, overlap: int = OVERLAP) -> DataFrame:
     """(id_col, ids) for every row of ``table``."""
-    ranks, rows = read_vocabulary(vocabulary), _numbered(table, id_col, text_col)
+    ranks, rows = read_vocabulary(vocabulary), _numbered(table, id_col, text_col, [])
     is_long = F.coalesce(F.length("text") > chunk, F.lit(False))
     short = _encoded(rows.where(~is_long).select("id", "text"), ranks, False)
     long = _encoded(pieces(rows.where(is_long), chunk, overlap), ranks, False)
@@ -137,15 +151,12 @@ def encode(table: DataFrame, id_col: str, text_col: str, vocabulary: str = VOCAB
 
 def token_counts(table: DataFrame, id_col: str, text_col: str, keep: list[str], vocabulary: str = VOCABULARY, chunk: int = CHUNK, overlap: int = OVERLAP) -> DataFrame:
     """(id_col, *keep, n): the number of tokens of every row; no ids are kept."""
-    ranks = read_vocabulary(vocabulary)
-    is_long = F.coalesce(F.length("_text") > chunk, F.lit(False))
-    texts = runtime.spread(table.select(F.col(id_col).cast("bigint").alias(id_col), *keep, F.col(text_col).alias("_text")))
-    rows = texts.select(F.monotonically_increasing_id().alias("_row"), id_col, *keep, "_text")
-    short = _encoded(rows.where(~is_long).drop("_row"), ranks, True)
-    long = rows.where(is_long)
-    cut = pieces(long.select(F.col("_row").alias("row"), F.col(id_col).alias("id"), F.col("_text").alias("text")), chunk, overlap)
-    counted = _encoded(cut, ranks, True).groupBy("row").agg(F.sum("n").alias("n"))
-    return short.unionByName(long.drop("_text").join(counted, F.col("_row") == F.col("row")).select(id_col, *keep, "n"))
+    ranks, rows = read_vocabulary(vocabulary), _numbered(table, id_col, text_col, keep)
+    is_long = F.coalesce(F.length("text") > chunk, F.lit(False))
+    short = _encoded(rows.where(~is_long).drop("row"), ranks, True)
+    held = ["id", *(f"keep_{c}" for c in keep)]
+    long = _encoded(pieces(rows.where(is_long), chunk, overlap), ranks, True).groupBy("row", *held).agg(F.sum("n").alias("n")).drop("row")
+    return short.unionByName(long).select(F.col("id").alias(id_col), *(F.col(f"keep_{c}").alias(c) for c in keep), "n")
 
 
 def decode(encoded: DataFrame, id_col: str, vocabulary: str = VOCABULARY) -> DataFrame:

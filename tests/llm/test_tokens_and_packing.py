@@ -72,6 +72,32 @@ def test_packing(spark):
     assert packing.pack_documents(df.limit(0)).count() == 0
 
 
+def test_no_long_document_is_lost(spark, tmp_path):
+    """A table of one file, its long texts over the default chunk, with adaptive execution as on a cluster."""
+    assert spark.conf.get("spark.sql.adaptive.enabled") == "true"
+    texts = [f"word{i} and so on " * (1_500 if i % 9 == 0 else 5) for i in range(60)] + [None, "", "long " * 20_000]
+    table(spark, texts).unionByName(table(spark, texts[-1:])).coalesce(1).write.parquet(f"{tmp_path}/one")
+    df = spark.read.parquet(f"{tmp_path}/one")
+    plain = tokens.encoder(tokens.read_vocabulary()).encode_ordinary
+    want = sorted([(i, len(plain(t or ""))) for i, t in enumerate(texts)] + [(0, len(plain(texts[-1])))])
+    assert sorted((r.doc_id, r.n) for r in tokens.token_counts(df, "doc_id", "text", ["source"]).collect()) == want
+    packed = {}
+    for r in packing.pack_documents(df, lane_tokens=30_000).collect():
+        packed[r.doc_id] = packed.get(r.doc_id, 0) + r.n_tokens
+    assert packed == {i: sum(n for j, n in want if j == i) for i, _ in want}
+
+
+def test_what_lanes_owe(spark):
+    rows = [(lane, s, 100 * (lane % 7) + k) for lane in range(50) for k, s in enumerate("abc") if (lane + k) % 4]
+    total = sum(n for _, _, n in rows)
+    got = {(r.lane, r.source): r.owed for r in packing.owed_by_lane(spark.createDataFrame(rows, "lane long, source string, n long"), total).collect()}
+    assert set(got) == {(lane, s) for lane, s, _ in rows}
+    for lane, s, _ in rows:
+        share = sum(n for _, x, n in rows if x == s) / total
+        owed = share * sum(n for a, _, n in rows if a < lane) - sum(n for a, x, n in rows if a < lane and x == s)
+        assert abs(got[lane, s] - owed) < 1e-6
+
+
 def test_mixture_is_held(spark):
     rows = [(i, "hot" if i % 3 else "rare", 40 + i % 60) for i in range(6_000)]
     df = spark.createDataFrame(rows, "doc_id long, source string, n long")
