@@ -137,9 +137,48 @@ def test_garbled_beside_a_rare_symbol(spark):
     assert got and got == {i: "seen by \u16a0\u16c7\u16bb here: " + lines[i - 5000] for i, _ in rows if i >= 5000}
 
 
-def test_garbled_model_holds_what_larger_inputs_have():
-    """About 390,000 distinct n-grams are expected at scale 10; none of them may be dropped."""
-    assert garbled.Settings().model_grams >= 400_000
+def brute_best(ws, model, least):
+    """All chains over all windows, none left out."""
+    best, chain = least, None
+    for k, c in enumerate(garbled.CHAINS):
+        if k >= len(garbled.UTF8_CHAINS):
+            if any(ch > "\x7f" and ch not in garbled.MAPS[k - len(garbled.UTF8_CHAINS)] for w in ws for ch in w):
+                continue
+        total = sum(model.gain(w, k) for w in ws)
+        if total > best + 1e-9 or chain is None and total >= best:
+            best, chain = total, c
+    return chain and best
+
+
+def test_garbled_bounds_lose_no_chain():
+    clean, bad, _, quotes = garbled_rows()
+    texts = [t for _, t in clean + bad + quotes]
+    counts = {}
+    for t in texts[:300]:
+        for line in t.split("\n"):
+            for w in garbled.windows(line):
+                for i in range(3, len(w)):
+                    for k in range(4):
+                        counts[w[i - k : i + 1]] = counts.get(w[i - k : i + 1], 0) + 1
+    model, checked = garbled.Model(counts), 0
+    for t in texts[290:]:
+        for line in t.split("\n"):
+            for least in (0.5, 6.0):
+                if ws := garbled.windows(line):
+                    got, want = garbled.best_chain(ws, model, least), brute_best(ws, garbled.Model(counts), least)
+                    assert (got and round(got[0], 6)) == (want and round(want, 6)), line
+                    checked += got is not None
+    assert checked > 50
+
+
+def test_garbled_references(spark):
+    """Damage written in references alone, beside references that are no damage, and no line to validate on."""
+    clean, _, _, _ = garbled_rows()
+    rows = clean + [(7000, "the caf&Atilde;&copy;&acirc;&euro;&trade;s keel"), (7001, "&lt;&lt;a&gt;&gt; &laquo;&nbsp;keel&nbsp;&raquo; &amp;&amp;"), (7002, "caf&#195;&#169;"), (None, None), (7003, "")]
+    got = {r.doc_id: r.restored for r in garbled.repair(spark.createDataFrame(rows, "doc_id long, text string"), "doc_id", "text").collect()}
+    assert got == {7000: "the café’s keel", 7002: "café"}
+    one = spark.createDataFrame([(1, "cafÃ©"), (2, "lost \ufffd")], "doc_id long, text string")
+    assert [r.doc_id for r in garbled.repair(one, "doc_id", "text").collect() if not r.whole] == [2]
 
 
 # -- personal ----------------------------------------------------------------------------------
