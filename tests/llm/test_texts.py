@@ -227,4 +227,26 @@ def test_personal_name_in_a_hot_text(spark):
     got = {r.id for r in personal.found(spark.createDataFrame(rows, "id long, query string"), "id", "query", names).where("kind = 'person'").collect()}
     assert {*range(7000, 7060), 8000, 8001} <= got
     lexicon = personal.Lexicon(frozenset(), frozenset(["harrowstrade"]), {"^har": 1.0, "trade$": 1.0})
-    assert [f for *_, f in personal.names_in("Dr. Harrowstrade left, J. Harrowstrade stays", [], lexicon)] == ["title", "initial"]
+    assert [f for *_, f, _ in personal.names_in("Dr. Harrowstrade left, J. Harrowstrade stays", [], lexicon)] == ["title", "initial"]
+
+
+def test_no_labeler_changes_sides():
+    """Whatever the mixture, a decoy that only a place speaks for stays one, and what formats speak for stays found."""
+    for scale in (1, 10, 1_000):
+        for decoys in (0.1, 1, 30):
+            counts = {(1, 1, 1, 0): 834 * scale, (0, 1, 1, 0): 364 * scale, (0, 1, 0, -1): int(258 * decoys * scale), (1, 1, 0, 0): 86 * scale, (0, 1, 0, 0): 38 * scale}
+            got = personal.reliabilities(counts, personal.LABELERS["address"])
+            assert got[0, 1, 0, -1] < 0.4 and got[1, 1, 1, 0] > 0.9 and got[1, 1, 0, 0] > 0.8, (scale, decoys, got)
+
+
+def test_personal_in_a_scaled_log(spark):
+    """Ten times the log, with the same share of decoys, finds the same and no decoy."""
+    given, rows, want = personal_rows(6_000)
+    names = spark.createDataFrame([(g, 1) for g in given], "given_name string, n_seen long")
+    got: dict = {}
+    for r in personal.found(spark.createDataFrame(rows, "id long, query string"), "id", "query", names).collect():
+        got.setdefault(r.id, set()).add(r.kind)
+    decoys = [i for i, k in want.items() if not k]
+    assert sum(i in got for i in decoys) / len(decoys) < 0.01
+    assert not any("road map" in t for i, t in rows if i in got)
+    assert sum(got.get(i, set()) != k for i, k in want.items()) / len(want) < 0.03
