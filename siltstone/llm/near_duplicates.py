@@ -4,14 +4,17 @@ connected components by alternating large-star and small-star.
 The stages, and what bounds each of them:
 
 * ``signatures`` reads each text once, in Arrow batches. A text becomes its set of shingles,
-  the set a 64-bit class (equal sets are one class) and ``bands`` keys, each made of ``rows``
-  universal hash minima. Within a task, a class that was seen before sends no second
-  set of keys, so a group of copies sends one set per task, not one per copy.
-* ``candidates`` shuffles (key, class) once by key. A bucket of up to ``bucket_cap`` classes
-  gives its pairs; the classes of larger buckets take the exact way of ``prefix_pairs``, which
-  loses no pair: the cap chooses the way, it drops nothing.
-* signature verification: a pair stays if at least ``min_shared`` of its band keys agree,
-  an estimate of the similarity from the signature that needs no second look at it.
+  the set a 64-bit class (equal sets are one class), ``bands`` keys, each made of ``rows``
+  universal hash minima, and the lowest byte of each minimum. Within a task, a class that was seen before sends no
+  second set of these, so a group of copies sends one set per task, not one per copy.
+* ``classes`` makes them one row per class, with its least id. All that follows counts classes, so it doesn't depend on
+  how rows lie over tasks.
+* ``candidates`` shuffles (key, class) once by key; each task sends on at most ``bucket_cap`` + 1 classes of a key. A
+  bucket of up to ``bucket_cap`` classes gives its pairs; the classes of larger buckets, fetched over salts, take the
+  exact way of ``prefix_pairs``, which loses no pair: the cap chooses the way, it drops nothing. So a class is in at
+  most bands * bucket_cap pairs of the first way.
+* signature verification: a pair stays if at least ``min_shared`` of its band keys agree, and as many minima (by their
+  lowest byte) as a pair at the threshold has with all but ``slack`` standard deviations.
 * ``verified`` looks at the texts themselves of the pairs that are left, one shuffle of the
   texts, and keeps the pairs whose similarity is at least the threshold.
 * ``components`` joins linked classes; its state is one row per link and round, written to the
@@ -51,7 +54,8 @@ SEEN = 1 << 18  # classes that a task remembers; forgetting one only costs a rep
 class Settings:
     """shingle: words in a shingle. threshold: least Jaccard similarity of a link. min_words:
     texts under so many words are in no link. bands, rows, min_shared: see the module.
-    bucket_cap: larger buckets take the exact way."""
+    bucket_cap: larger buckets take the exact way. slack: standard deviations that the agreement of minima may stay
+    behind. salts: parts of a hot group."""
 
     shingle: int = 5
     threshold: float = 0.8
@@ -60,6 +64,8 @@ class Settings:
     rows: int = 5
     min_shared: int = 2
     bucket_cap: int = 64
+    slack: float = 4.0
+    salts: int = 16
     seed: int = 20_261
 
 
@@ -110,8 +116,8 @@ def minima(shingles: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def signatures(texts: DataFrame, s: Settings) -> DataFrame:
-    """(id, cls, keys): keys is null where this task has sent the keys of the class before.
-    ``texts`` has the columns id and text."""
+    """(id, cls, keys, bits): keys and the minima's lowest bytes are null where this task has sent those of the class
+    before. ``texts`` has the columns id and text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rng = np.random.default_rng(s.seed)
@@ -119,7 +125,7 @@ def signatures(texts: DataFrame, s: Settings) -> DataFrame:
         b = rng.integers(0, 1 << 63, (s.bands * s.rows, 1), dtype=np.uint64)
         shingler, seen = Shingler(s.shingle), set()
         for batch in batches:
-            ids, classes, keys = [], [], []
+            ids, classes, keys, bits = [], [], [], []
             for i, text in zip(batch.column(0).to_pylist(), batch.column(1)):
                 shingles = shingler(text.as_py(), s.min_words)
                 if shingles is None:
@@ -129,16 +135,18 @@ def signatures(texts: DataFrame, s: Settings) -> DataFrame:
                 classes.append(cls)
                 if cls in seen:
                     keys.append(None)
+                    bits.append(None)
                     continue
                 if len(seen) >= SEEN:
                     seen.clear()
                 seen.add(cls)
                 sig = minima(shingles, a, b).reshape(s.bands, s.rows)
                 keys.append([xxhash.xxh64_intdigest(sig[k].tobytes(), k) - (1 << 63) for k in range(s.bands)])
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(classes, pa.int64()), pa.array(keys, pa.list_(pa.int64()))], ["id", "cls", "keys"])
+                bits.append(sig.astype(np.uint8).tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(classes, pa.int64()), pa.array(keys, pa.list_(pa.int64())), pa.array(bits, pa.binary())], ["id", "cls", "keys", "bits"])
 
     held = texts.select("id", "text").where(F.col("id").isNotNull() & F.col("text").isNotNull())
-    return runtime.spread(held).mapInArrow(run, "id bigint, cls bigint, keys array<bigint>")
+    return runtime.spread(held).mapInArrow(run, "id bigint, cls bigint, keys array<bigint>, bits binary")
 
 
 def shingle_rows(texts: DataFrame, s: Settings) -> DataFrame:
@@ -192,6 +200,43 @@ def verified(pairs: DataFrame, texts: DataFrame, s: Settings) -> DataFrame:
     return met.mapInArrow(run, "id_a bigint, id_b bigint, similarity double")
 
 
+def classes(signed: DataFrame) -> DataFrame:
+    """(cls, rep, keys, bits): one row per class, rep its least id."""
+    return signed.groupBy("cls").agg(F.min("id").alias("rep"), F.first("keys", ignorenulls=True).alias("keys"), F.first("bits", ignorenulls=True).alias("bits"))
+
+
+def candidates(held: DataFrame, s: Settings) -> tuple[DataFrame, DataFrame]:
+    """(cls_a, cls_b) that share enough band keys, from buckets up to the cap, and the (cls) of larger ones."""
+    keyed = held.select("cls", F.explode("keys").alias("key"))
+    place = F.row_number().over(W.partitionBy("key").orderBy("cls"))
+    few = keyed.withColumn("place", place).where(F.col("place") <= s.bucket_cap + 1)  # cut in each task, before the shuffle
+    buckets = runtime.materialise(few.groupBy("key").agg(F.sort_array(F.collect_list("cls")).alias("c")).where(F.size("c") > 1), "buckets")
+    ahead = buckets.where(F.size("c") <= s.bucket_cap).select("c", F.posexplode("c").alias("at", "cls_a"))
+    agree = ahead.select("cls_a", F.explode(F.expr("slice(c, at + 2, size(c))")).alias("cls_b")).groupBy("cls_a", "cls_b").agg(F.count("*").alias("shared"))
+    hot = buckets.where(F.size("c") > s.bucket_cap).select("key", F.explode(F.sequence(F.lit(0), F.lit(s.salts - 1))).alias("salt"))
+    large = keyed.withColumn("salt", F.pmod(F.xxhash64("cls"), F.lit(s.salts)).cast("int")).join(hot, ["key", "salt"], "left_semi").select("cls").distinct()
+    return agree.where(F.col("shared") >= s.min_shared).select("cls_a", "cls_b"), large if not buckets.where(F.size("c") > s.bucket_cap).isEmpty() else held.select("cls").limit(0)
+
+
+def least_agreement(s: Settings) -> float:
+    """Of the minima's lowest bytes, at the threshold: by chance one in 256 agrees anyway."""
+    p = s.threshold + (1 - s.threshold) / 256
+    return p - s.slack * (p * (1 - p) / (s.bands * s.rows)) ** 0.5
+
+
+def agreeing(pairs: DataFrame, s: Settings) -> DataFrame:
+    """(rep_a, rep_b) of the pairs (rep_a, bits_a, rep_b, bits_b) whose signatures agree enough."""
+    width, least = s.bands * s.rows, least_agreement(s)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x, y = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint8).reshape(-1, width) for k in (1, 3))
+            kept = pa.array((x == y).mean(axis=1) >= least)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2)], ["rep_a", "rep_b"]).filter(kept)
+
+    return pairs.select("rep_a", "bits_a", "rep_b", "bits_b").mapInArrow(run, "rep_a bigint, rep_b bigint")
+
+
 @dataclass(frozen=True)
 class Found:
     """links: (id_a, id_b, similarity), id_a < id_b, between representatives of classes.
@@ -205,29 +250,23 @@ def near_duplicates(table: DataFrame, id_col: str, text_col: str, s: Settings =
     """Links between different texts, and the members of each class of equal shingle sets."""
     texts = table.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"))
     signed = runtime.materialise(signatures(texts, s), "signatures")
-
-    keyed = signed.where(F.col("keys").isNotNull()).select("cls", F.explode("keys").alias("key"))
-    buckets = keyed.withColumn("n", F.count("*").over(W.partitionBy("key"))).where(F.col("n") > 1)
-    small = buckets.where(F.col("n") <= s.bucket_cap).groupBy("key").agg(F.sort_array(F.collect_set("cls")).alias("c")).where(F.size("c") > 1)
-    ahead = small.select("c", F.posexplode("c").alias("at", "cls_a"))
-    agree = ahead.select("cls_a", F.explode(F.expr("slice(c, at + 2, size(c))")).alias("cls_b")).groupBy("cls_a", "cls_b").agg(F.count("*").alias("shared"))
-    likely = runtime.materialise(agree.where(F.col("shared") >= s.min_shared).select("cls_a", "cls_b"), "pairs")
-    large = runtime.materialise(buckets.where(F.col("n") > s.bucket_cap).select("cls").distinct(), "hot")
-
-    reps = signed.groupBy("cls").agg(F.min("id").alias("rep"))
-    members = signed.select("id", "cls").distinct().join(reps, "cls").select("id", "rep")
-    of = lambda x: reps.select(F.col("cls").alias(f"cls_{x}"), F.col("rep").alias(f"rep_{x}"))
-    by_id = likely.join(of("a"), "cls_a").join(of("b"), "cls_b").select(F.least("rep_a", "rep_b").alias("id_a"), F.greatest("rep_a", "rep_b").alias("id_b"))
+    held = runtime.materialise(classes(signed), "classes")
+    likely, large = candidates(held, s)
+    large = runtime.materialise(large, "hot")
+    members = signed.select("id", "cls").distinct().join(held.select("cls", "rep"), "cls").select("id", "rep")
+    of = lambda x: held.select(F.col("cls").alias(f"cls_{x}"), F.col("rep").alias(f"rep_{x}"), F.col("bits").alias(f"bits_{x}"))
+    by_id = agreeing(likely.join(of("a"), "cls_a").join(of("b"), "cls_b"), s).select(F.least("rep_a", "rep_b").alias("id_a"), F.greatest("rep_a", "rep_b").alias("id_b"))
+    by_id = runtime.materialise(by_id, "pairs")
     once = texts.where(F.col("id").isNotNull() & F.col("text").isNotNull())
     links = verified(by_id, once, s)
     if not large.isEmpty():
-        wanted = large.join(reps, "cls").select(F.col("rep").alias("id"))
+        wanted = large.join(held, "cls").select(F.col("rep").alias("id"))
         hot = runtime.materialise(shingle_rows(once.join(wanted, "id", "left_semi").dropDuplicates(["id"]), s), "shingles")
         links = links.unionByName(prefix_pairs(hot, s.threshold)).dropDuplicates(["id_a", "id_b"])
     return Found(links, members)
 
 
-def all_pairs(found: Found) -> DataFrame:
+def all_pairs(found: Found, salts: int = 16) -> DataFrame:
     """(id_a, id_b), id_a < id_b: the links carried over to all members, and the pairs within
     each class. As many rows as the answer has; ask for ``groups`` where that is too many."""
     rep_of = lambda x: found.members.select(F.col("id").alias(f"m_{x}"), F.col("rep").alias(f"id_{x}"))
@@ -235,7 +274,10 @@ def all_pairs(found: Found) -> DataFrame:
     copies = found.members.where(F.col("id") != F.col("rep"))  # few rows, so the join below is small
     crowded = copies.select("rep").distinct()
     inside = found.members.join(crowded, "rep", "left_semi")
-    within = inside.select(F.col("id").alias("m_a"), "rep").join(copies.select(F.col("id").alias("m_b"), "rep"), "rep").where(F.col("m_a") < F.col("m_b")).select("m_a", "m_b")
+    # A class may be a hot group: its members are spread over salts, and each part meets all of its copies.
+    parts = inside.select(F.col("id").alias("m_a"), "rep", F.pmod(F.xxhash64("id"), F.lit(salts)).cast("int").alias("salt"))
+    others = copies.select(F.col("id").alias("m_b"), "rep", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"))
+    within = parts.join(others, ["rep", "salt"]).where(F.col("m_a") < F.col("m_b")).select("m_a", "m_b")
     both = across.unionByName(within)
     return both.select(F.least("m_a", "m_b").alias("id_a"), F.greatest("m_a", "m_b").alias("id_b"))
 

@@ -48,6 +48,27 @@ def test_hot_buckets_take_the_exact_way(spark):
     assert found(spark, rows, tight) == brute(rows, tight)
 
 
+def test_any_number_of_partitions_gives_the_same(spark):
+    """A class counts once in a bucket, over however many tasks its copies lie, and whatever the cap."""
+    rows = corpus(7, 8) + [(5000 + k, corpus(7, 8)[2][1]) for k in range(40)]
+    df = spark.createDataFrame([r for r in rows if r[0] is not None], "id long, text string")
+    for cap in (2, 3, 64):
+        s = nd.Settings(shingle=3, threshold=0.5, min_words=12, bands=40, rows=3, bucket_cap=cap, salts=3)
+        for n in (1, 7):
+            got = {tuple(r) for r in nd.all_pairs(nd.near_duplicates(df.repartition(n), "id", "text", s)).collect()}
+            assert got == brute(rows, S), (cap, n)
+
+
+def test_agreement_keeps_pairs_at_the_threshold():
+    """Of pairs whose minima agree as often as at the threshold, the signature check loses fewer than one in a thousand."""
+    import numpy as np
+
+    least, r = nd.least_agreement(S), np.random.default_rng(1)
+    width = S.bands * S.rows
+    agree = r.binomial(width, S.threshold + (1 - S.threshold) / 256, 20_000) / width
+    assert (agree < least).mean() < 1e-3 and least > 0.25
+
+
 def test_groups(spark):
     rows = [r for r in corpus(6, 15) if r[0] is not None]
     df = spark.createDataFrame(rows, "id long, text string")
