@@ -3,8 +3,8 @@
 from __future__ import annotations
 
 import html
-import re
 from html.parser import HTMLParser
+from itertools import accumulate
 
 import pandas as pd
 from pyspark.sql import Column
@@ -18,26 +18,16 @@ HIDDEN = frozenset("script style nav footer noscript svg head".split())
 BREAKING = frozenset("p div section article li br h1 h2 h3 h4 tr".split())
 
 
-class _Reader(HTMLParser):
-    def __init__(self):
-        super().__init__(convert_charrefs=True)
-        self.hidden, self.out = 0, []
-
-    def _edge(self, tag: str, step: int) -> None:
-        if tag in HIDDEN:
-            self.hidden = max(0, self.hidden + step)
-        elif tag in BREAKING:
-            self.out.append("\n")
-
-    def handle_starttag(self, tag, attrs):
-        self._edge(tag, 1)
+class _Tokens(HTMLParser):
+    """A page as a flat list of (step, tag or text): 1 opens, -1 closes, 0 is text."""
 
-    def handle_endtag(self, tag):
-        self._edge(tag, -1)
-
-    def handle_data(self, data):
-        if not self.hidden:
-            self.out.append(data)
+    def __init__(self, source: str):
+        super().__init__(convert_charrefs=True)
+        self.found: list[tuple[int, str]] = []
+        self.handle_starttag = lambda tag, _: self.found.append((1, tag))
+        self.handle_endtag = lambda tag: self.found.append((-1, tag))
+        self.handle_data = lambda text: self.found.append((0, text))
+        self.feed(source)
 
 
 def body_text(source: str | None) -> str | None:
@@ -45,9 +35,11 @@ def body_text(source: str | None) -> str | None:
     hides the rest."""
     if source is None:
         return None
-    reader = _Reader()
-    reader.feed(source)
-    return "\n".join(filter(None, (" ".join(x.split()) for x in "".join(reader.out).splitlines())))
+    tokens = _Tokens(source).found
+    # How many hiding elements are open at each token; closing what wasn't opened changes nothing.
+    depths = accumulate((step if tag in HIDDEN else 0 for step, tag in tokens), lambda depth, step: max(0, depth + step), initial=0)
+    seen = (text if not step else "\n" * (text in BREAKING) for (step, text), depth in zip(tokens, depths) if step or not depth)
+    return "\n".join(filter(None, (" ".join(line.split()) for line in "".join(seen).splitlines())))
 
 
 @F.pandas_udf(T.StringType())
@@ -61,6 +53,7 @@ def unescape(source: pd.Series) -> pd.Series:
 
 
 def plain(text: Column) -> Column:
-    """Tags stripped, then references resolved, then white space squeezed, in this order. Texts without an
-    ampersand, most of them, don't visit Python's part of the row for anything but the pass."""
-    return tx.squeeze(unescape(tx.without_tags(text)))
+    """Tags stripped, then references resolved, then white space squeezed, in this order. Only texts with an ampersand,
+    few of them, visit Python: the others reach the function as null."""
+    bare = tx.without_tags(text)
+    return tx.squeeze(F.coalesce(unescape(F.when(bare.contains("&"), bare)), bare))
