@@ -118,6 +118,8 @@ class ChangeCapture:
 
     def read(self, log: DataFrame, plan: Plan) -> DataFrame:
         """The rows of the plan, with key columns."""
+        # The bounds over all partitions reach the scan; each partition's own follow.
+        log = log.where((F.col(self.offset) > min(plan.start)) & (F.col(self.offset) <= max(plan.end)))
         bounds = lambda values: F.element_at(F.array(*(F.lit(v).cast("bigint") for v in values)), self._partition() + 1)
         return versioned(log).where((F.col(self.offset) > bounds(plan.start)) & (F.col(self.offset) <= bounds(plan.end)))
 
@@ -150,14 +152,32 @@ class ChangeCapture:
 
 def pending(feed: DataFrame, processed: DataFrame, runs: DataFrame, partitions: int = 64) -> DataFrame:
     """``entry_id`` of every version that no successful run has processed, each once at its
-    smallest entry_id: the batch that a run starting now would get.
+    smallest entry_id: what a run starting now gets and sinks.
 
-    The plan is written ahead to a state folder of its own below the shared folder. Nulls in
+    A whole run: its plan is written ahead to a state folder below the shared folder, its batch goes through the sink, and
+    what is committed comes out. Nulls in
     ``file_path`` or ``last_updated`` leave the feed; an empty feed gives no rows; repeated
     deliveries and repeated records of a run count once; other columns are never read.
     """
     spark = feed.sparkSession
     capture = ChangeCapture(spark, runtime.new_path(spark, "capture"), partitions)
     feed = feed.select("entry_id", "source_repo", "file_path", "last_updated")
-    batch = capture.read(feed, capture.plan(feed))
-    return capture.deduplicate(batch, ledger(processed, runs)).select("entry_id")
+    capture.run(feed, ledger(processed, runs))
+    return capture.sunk().select("entry_id")
+
+
+def pending_in_runs(feed: DataFrame, processed: DataFrame, runs: DataFrame, cut: int, partitions: int = 64) -> DataFrame:
+    """The same over several runs with their offsets kept, one of them failing: the first run sees the feed up to entry
+    ``cut``; the second plans the rest, sinks it and dies before its commit; the third replays that plan."""
+    spark = feed.sparkSession
+    state = runtime.new_path(spark, "capture")
+    feed = feed.select("entry_id", "source_repo", "file_path", "last_updated")
+    done = ledger(processed, runs)
+    ChangeCapture(spark, state, partitions).run(feed.where(F.col("entry_id") <= cut), done)
+    died = ChangeCapture(spark, state, partitions)
+    plan = died.plan(feed)
+    died.sink(plan, died.deduplicate(died.read(feed, plan), done.unionByName(died.sunk().select(*KEY))))
+    again = ChangeCapture(spark, state, partitions)
+    if not again.run(feed, done).replayed:
+        raise RuntimeError("the plan of the failed run was not replayed")
+    return again.sunk().select("entry_id")

@@ -74,8 +74,3 @@ def compare(vector_ids: DataFrame, hybrid: DataFrame, best: int = 3) -> DataFram
     side = lambda df, name: df.where(F.col("rank") <= best).select("query_id", "rank", F.col("chunk_id").alias(name))
     return side(vector_ids, "vector_chunk").join(side(hybrid, "hybrid_chunk"), ["query_id", "rank"], "full_outer")
 
-
-def comparison_rows(hits: DataFrame) -> DataFrame:
-    """(query_id, rank, line): a line of the comparison report for each hit."""
-    place = F.regexp_replace(F.concat_ws("/", "source_repo", "file_path"), "^/+|/+$", "")
-    return hits.select("query_id", "rank", F.format_string("%d. `%s` (%.3f) %s", F.col("rank"), place, F.col("score"), F.substring(tx.squeeze(F.col("text")), 1, 70)).alias("line"))

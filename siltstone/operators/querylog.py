@@ -59,3 +59,27 @@ def hourly(log: DataFrame, seconds: int = HOUR) -> DataFrame:
     """(window_start, queries) of each window in which something was asked, aligned to the epoch."""
     start = (F.floor(F.col("ts") / seconds) * seconds).cast("bigint")
     return distinct_records(log).where(F.col("ts").isNotNull()).groupBy(start.alias("window_start")).agg(F.count("*").alias("queries"))
+
+
+def windows(log: DataFrame, since: int, until: int, seconds: int = HOUR) -> DataFrame:
+    """(window_start, queries) of every whole window from ``since`` to ``until``, also of those in which nothing was
+    asked, aligned to the epoch."""
+    spark = log.sparkSession
+    first, last = since - since % seconds, until - until % seconds
+    every = spark.range(first, max(first, last), seconds).select(F.col("id").alias("window_start"))
+    return every.join(hourly(window_rows(log, first, last), seconds), "window_start", "left").select("window_start", F.coalesce("queries", F.lit(0)).alias("queries"))
+
+
+def summary_payload(log: DataFrame, source: str, since: int, until: int, now: int, k: int = TOP) -> DataFrame:
+    """One row, what a window's report says: counts and terms of the window, and totals of the log. A quiet window is
+    reported too, with count 0."""
+    window, total = window_summary(log, since, until, k), stats(log, now)
+    return window.crossJoin(total).select(  # one row each
+        F.lit(source).alias("source"), tx.iso_utc(F.lit(since)).alias("window_start"), tx.iso_utc(F.lit(until)).alias("window_end"), "count", "top_terms",
+        F.col("today").alias("queries_today"), F.col("total").alias("queries_total"), "last_query_at",
+    )
+
+
+def trimmed(log: DataFrame, keep: int) -> DataFrame:
+    """The last ``keep`` records by time and id, an option of the log's owner; a top-k."""
+    return distinct_records(log).orderBy(F.desc("ts"), F.desc("id")).limit(keep)

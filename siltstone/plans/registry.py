@@ -15,12 +15,15 @@ from pyspark.sql import functions as F
 from siltstone import runtime
 from siltstone.functions import html
 from siltstone.functions import text as tx
-from siltstone.operators import admission, answers, changes, chunking, convergence, fusion, lexical, querylog, vector
+from siltstone.operators import admission, answers, changes, chunking, convergence, embedding, fusion, lexical, querylog, service, vector
+from siltstone.settings import Settings
 from siltstone.streaming import log_stream
 
 Query = Callable[[SparkSession, str], DataFrame]
 NOW = 1_775_000_000  # the "now" of log queries: always given, never a clock
 SINCE, UNTIL = NOW - 30 * 86_400, NOW
+DOMAIN = ("public", "widget", "system", "systems")  # words that an excerpt centres on only for want of others
+EMBEDDER = embedding.HashedTerms(32)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -39,10 +42,11 @@ def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.join(e, "doc_id", "left").select(key.alias("chunk_id"), F.col("doc_id").alias("vec_id"), "source_repo", "file_path", "doc_type", "last_updated", F.lit(0).alias("chunk_index"), "text", "embedding")
 
 
-def text_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+def text_chunks(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
     """``chunks`` without vectors, so without the join."""
-    key = tx.chunk_id(F.col("source_repo"), F.col("file_path"), F.lit(0))
-    return documents(spark, sf_dir).select(key.alias("chunk_id"), "text")
+    key = tx.chunk_id(F.col("source_repo"), F.col("file_path"), F.lit(0)).alias("chunk_id")
+    d = documents(spark, sf_dir)
+    return d.select(key, F.col("doc_id").alias("vec_id"), "source_repo", "file_path", "doc_type", "last_updated", F.lit(0).alias("chunk_index"), "text") if whole else d.select(key, "text")
 
 
 def asked(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -83,7 +87,6 @@ def html_to_text(spark: SparkSession, d: str) -> DataFrame:
 
 
 def display_excerpt(spark: SparkSession, d: str) -> DataFrame:
-    """Over all documents; the SQL leaves out texts with an ampersand, whose references it can't resolve."""
     return documents(spark, d).where(F.col("text").isNotNull()).select("doc_id", tx.display_excerpt(html.plain(F.col("text"))).alias("excerpt"))
 
 
@@ -91,7 +94,7 @@ def prompt_excerpt(spark: SparkSession, d: str) -> DataFrame:
     hits = table(spark, d, "search_hits").dropDuplicates(["hit_id"]).where(F.col("text").isNotNull())
     q = querylog.distinct_records(table(spark, d, "queries")).select(F.col("id").alias("query_id"), "query")
     met = hits.join(q, "query_id").withColumn("plain", html.plain(F.col("text")))
-    return met.select("hit_id", tx.prompt_excerpt(F.col("plain"), F.col("query")).alias("excerpt"))
+    return met.select("hit_id", tx.prompt_excerpt(F.col("plain"), F.col("query"), domain=DOMAIN).alias("excerpt"))
 
 
 # -- retrieval ----------------------------------------------------------------------------------
@@ -125,6 +128,10 @@ def lsh_recall(spark: SparkSession, d: str) -> DataFrame:
     return vector.recall(lsh_topk(spark, d), vector_topk(spark, d))
 
 
+def lsh_recalls_enough(spark: SparkSession, d: str) -> DataFrame:
+    return lsh_recall(spark, d).select((F.col("recall") >= 0.9).alias("enough"))
+
+
 def hybrid_queries(spark: SparkSession, d: str) -> DataFrame:
     """Logged queries of the set, with the vector of the same number where there is one."""
     v = table(spark, d, "embeddings").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
@@ -156,6 +163,63 @@ def compare_vector_hybrid(spark: SparkSession, d: str) -> DataFrame:
     return fusion.compare(near, fusion.hybrid_ids(c, q, 3))
 
 
+def comparison_report(spark: SparkSession, d: str) -> DataFrame:
+    """The comparison of both rankings as Markdown, one table for each query that has a vector."""
+    c, q = chunks(spark, d), hybrid_queries(spark, d)
+    near = vector.top_k(c.select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector")), q, 3).join(c.select("chunk_id", F.col("vec_id").alias("id")), "id")
+    return service.report(near, fusion.hybrid_ids(c, q, 3), c, q)
+
+
+def embed_texts(spark: SparkSession, d: str) -> DataFrame:
+    """Vectors of the distinct logged queries by hashed terms, as the places that aren't zero."""
+    q = table(spark, d, "queries").where(F.col("query").isNotNull()).select("query").distinct()
+    v = embedding.embed(q, EMBEDDER, 16, "query", "query")
+    return v.select("query", F.posexplode("vector").alias("place", "value")).where(F.col("value") != 0).select("query", "place", F.round("value", 9).alias("value"))
+
+
+def _callers(spark: SparkSession, d: str) -> DataFrame:
+    """The log as requests: four callers in five from outside, some marked as internal, with top_k from 0 to 12."""
+    q = querylog.distinct_records(table(spark, d, "queries")).where(F.col("ts").isNotNull())
+    address = F.when(F.col("id") % 5 == 0, F.concat(F.lit("10.0.0."), F.col("id") % 7)).otherwise(F.concat(F.lit("8.8.4."), F.col("id") % 7))
+    return q.select(F.col("id").alias("query_id"), F.col("ts").alias("t"), address.alias("caller"), (F.col("id") % 3 == 0).alias("internal"), "query", (F.col("id") % 13).cast("int").alias("top_k"))
+
+
+def request_decisions(spark: SparkSession, d: str) -> DataFrame:
+    """What each request of the log gets, at six requests an hour for each caller."""
+    return service.decided(_callers(spark, d), Settings(rate_limit_per_hour=6)).select("query_id", "decision", "k", "exempt")
+
+
+def _asking(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """The requests whose id is divisible by 20, and the documents as chunks with vectors by hashed terms."""
+    c = text_chunks(spark, d, whole=True)
+    v = embedding.embed(c, EMBEDDER, 16, "chunk_id", "text").withColumnRenamed("vector", "embedding")
+    return _callers(spark, d).where(F.col("query_id") % 20 == 0), runtime.materialise(c.join(v, "chunk_id"), "embedded")
+
+
+def service_search(spark: SparkSession, d: str) -> DataFrame:
+    """The whole search path: decisions, embedding, both rankings, hits."""
+    return service.search(*_asking(spark, d), EMBEDDER).hits.select("query_id", "rank", "chunk_id", "score", "degraded")
+
+
+def service_log(spark: SparkSession, d: str) -> DataFrame:
+    """What the search path logs."""
+    return service.search(*_asking(spark, d), None).log
+
+
+def ask_answers(spark: SparkSession, d: str) -> DataFrame:
+    """The whole answer path with a model that can't be reached: refusals, and passages in place of answers."""
+    return service.ask(*_asking(spark, d), EMBEDDER, None)
+
+
+def ingest_pass(spark: SparkSession, d: str) -> DataFrame:
+    """Two whole ingest passes into a store of their own, the second without decisions; the counts of both."""
+    docs = documents(spark, d).select("source_repo", "file_path", "doc_type", "text", F.lit(0).alias("source_order"))
+    store = runtime.new_path(spark, "ingested")
+    first = service.ingest(spark, docs, store, "first", "2026-01-01T00:00:00Z", EMBEDDER)
+    second = service.ingest(spark, docs.where(F.col("doc_type") != "decision"), store, "second", "2026-01-02T00:00:00Z", EMBEDDER)
+    return spark.createDataFrame([(n, *(x[c] for c in ("documents", "chunks", "deleted", "skipped"))) for n, x in (("first", first), ("second", second))], "run string, documents long, chunks long, deleted long, skipped long")
+
+
 def fallback_answer(spark: SparkSession, d: str) -> DataFrame:
     q = querylog.distinct_records(table(spark, d, "queries")).select(F.col("id").alias("query_id"), (F.col("id") % 2 == 0).alias("unavailable"))
     h = table(spark, d, "search_hits").dropDuplicates(["hit_id"]).where(F.col("text").isNotNull()).select("query_id", F.col("hit_rank").alias("rank"), F.coalesce("score", F.lit(0.0)).alias("score"), "text", "source_repo", "file_path")
@@ -192,7 +256,8 @@ def converge_stats(spark: SparkSession, d: str) -> DataFrame:
 
 
 def converge_store(spark: SparkSession, d: str) -> DataFrame:
-    return convergence.converge(*_stored(spark, d)).groupBy("version").agg(F.count("*").alias("chunks"))
+    """What a pass that saw all sources inserts, replaces and deletes."""
+    return convergence.transitions(*_stored(spark, d)).groupBy("action").agg(F.count("*").alias("chunks"))
 
 
 def dedup_last_wins(spark: SparkSession, d: str) -> DataFrame:
@@ -206,14 +271,18 @@ def dedup_first_wins(spark: SparkSession, d: str) -> DataFrame:
     return convergence.first_wins(feed, ["key_repo", "key_path"], [F.col("entry_id")])
 
 
+def _hit_chunks(spark: SparkSession, d: str) -> DataFrame:
+    """The chunks that hits show, each as its first hit has it."""
+    h = table(spark, d, "search_hits").where(F.col("source_repo").isNotNull() & F.col("file_path").isNotNull() & F.col("chunk_id").isNotNull())
+    return convergence.first_wins(h.select("chunk_id", "hit_id", "chunk_index", "source_repo", "file_path", "doc_type", "last_updated", F.lit(None).cast("string").alias("doc_key")), ["chunk_id"], [F.col("hit_id")])
+
+
 def index_listing(spark: SparkSession, d: str) -> DataFrame:
-    c = table(spark, d, "search_hits").where(F.col("source_repo").isNotNull() & F.col("file_path").isNotNull()).select("chunk_id", "chunk_index", "source_repo", "file_path", F.lit(None).cast("string").alias("doc_key"), "doc_type", "last_updated").dropDuplicates(["chunk_id"])
-    return convergence.listing(c).select("source_repo", "file_path", "chunks")
+    return convergence.listed(_hit_chunks(spark, d))
 
 
 def index_totals(spark: SparkSession, d: str) -> DataFrame:
-    c = table(spark, d, "search_hits").where(F.col("source_repo").isNotNull() & F.col("file_path").isNotNull()).select("chunk_id", "chunk_index", "source_repo", "file_path", F.lit(None).cast("string").alias("doc_key"), "doc_type", F.lit("").alias("last_updated")).dropDuplicates(["chunk_id"])
-    return convergence.totals(c).select("documents", "chunks")
+    return convergence.totals(_hit_chunks(spark, d))
 
 
 # -- log and admission ----------------------------------------------------------------------------
@@ -253,6 +322,16 @@ def hourly_log(spark: SparkSession, d: str) -> DataFrame:
     return querylog.hourly(table(spark, d, "queries"))
 
 
+def hourly_windows(spark: SparkSession, d: str) -> DataFrame:
+    """Every hour of the last thirty days, also the quiet ones."""
+    return querylog.windows(table(spark, d, "queries"), SINCE, UNTIL)
+
+
+def summary_payload(spark: SparkSession, d: str) -> DataFrame:
+    got = querylog.summary_payload(table(spark, d, "queries"), "siltstone", SINCE, UNTIL, NOW)
+    return got.withColumn("top_terms", F.transform("top_terms", lambda x: F.concat(x["term"], F.lit("="), x["count"])))
+
+
 def _event_stream(spark: SparkSession, d: str) -> DataFrame:
     """The events table as a stream: a folder source over the table's own files."""
     path = f"{d}/events.parquet"
@@ -267,13 +346,8 @@ def hourly_summary_stream(spark: SparkSession, d: str) -> DataFrame:
     """Counts of events by hour and type, by a stream that reads the table to its end and keeps its state and
     results below the shared folder."""
     out = runtime.new_path(spark, "stream")
-    counted = log_stream.windowed_counts(_event_stream(spark, d), "ts", ["event_type"])
-
-    def keep(batch: DataFrame, _: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{out}/sink")
-
-    counted.writeStream.outputMode("complete").foreachBatch(keep).option("checkpointLocation", f"{out}/checkpoint").trigger(availableNow=True).start().awaitTermination()
-    return spark.read.parquet(f"{out}/sink")
+    log_stream.keep_latest(log_stream.windowed_counts(_event_stream(spark, d), "ts", ["event_type"]), f"{out}/sink", f"{out}/checkpoint")
+    return log_stream.latest(spark, f"{out}/sink", ["window_start", "event_type"], "events")
 
 
 def rate_limit_stream(spark: SparkSession, d: str) -> DataFrame:
@@ -294,6 +368,14 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return changes.pending(t("index_entries"), t("processed_versions"), t("ingest_runs"))
 
 
+def p3_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same over three runs with stored offsets, the second of which dies before its commit."""
+    t = lambda n: table(spark, sf_dir, n)
+    feed = t("index_entries")
+    middle = feed.agg(F.expr("percentile_approx(entry_id, 0.5)")).first()[0] or 0
+    return changes.pending_in_runs(feed, t("processed_versions"), t("ingest_runs"), middle)
+
+
 TOKENS = "regexp_extract_all(lower(regexp_replace(text, '([a-z0-9])([A-Z])', '\\1 \\2', 'g')), '[a-z0-9]+')"
 WHITE = r"[\t-\r\x{1c}-\x{20}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+"
 LOG = "(select distinct on (id) * from queries)"
@@ -340,13 +422,59 @@ select s.event_id, s.user_id, s.t, s.i, len(list_filter(f.held, lambda x: s.t -
   case when len(list_filter(f.held, lambda x: s.t - x <= 43200)) < 3 then list_append(list_filter(f.held, lambda x: s.t - x <= 43200), s.t) else list_filter(f.held, lambda x: s.t - x <= 43200) end as held
 from f join s on s.user_id = f.user_id and s.i = f.i + 1)
 """
-GUARD_SQL = "case " + " ".join(f"when regexp_matches(lower(query), '{p}') then '{n}'" for n, p in admission.GUARD) + " end"
+# The guard once more, by other means: words cut out and set between single blanks, phrases looked up in that line.
+_SAID = "(' ' || array_to_string(regexp_extract_all(lower(query), '[\\pL\\pM\\pN_]+'), ' ') || ' ')"
+GUARD_SQL = f"""case
+  when query is null then null
+  when list_has_any(string_split({_SAID}, ' '), ['password', 'passwords', 'credential', 'credentials', 'token', 'tokens', 'secret', 'secrets'])
+    or regexp_matches(lower(query), 'api\\s+keys?([^\\pL\\pM\\pN_]|$)|(access\\s+token|(secret|private)\\s+key)([^\\pL\\pM\\pN_]|$)') and regexp_matches({_SAID}, ' (api key|api keys|access token|secret key|private key) ') then 'credentials'
+  when list_has_any(string_split({_SAID}, ' '), ['cv', 'resume', 'salary', 'interview']) or regexp_matches({_SAID}, ' (curriculum vitae|cover letter|job application) ') then 'career'
+  when list_has_any(string_split({_SAID}, ' '), ['coursework', 'grades']) or regexp_matches({_SAID}, ' (lecture notes|study notes|exam marks) ') then 'study'
+  when list_has_any(string_split({_SAID}, ' '), ['employer', 'colleague', 'colleagues', 'payroll']) or regexp_matches({_SAID}, ' (work laptop|internal tickets) ') then 'workplace'
+  when regexp_matches({_SAID}, ' (passport|driving licence|tax number|national insurance|social security) ') then 'identity'
+  when list_has_any(string_split({_SAID}, ' '), ['diary', 'medical']) or regexp_matches({_SAID}, ' (private notes|private memory|private collections?) ') then 'private'
+end"""
+# The character references that the tables hold; the ampersand comes last, so that nothing is resolved twice.
+REFERENCES = {"&nbsp;": 160, "&lt;": 60, "&gt;": 62, "&quot;": 34, "&mdash;": 8212, "&hellip;": 8230, "&rarr;": 8594, "&copy;": 169, "&#8216;": 8216, "&#8217;": 8217, "&acirc;": 226, "&Atilde;": 195, "&Acirc;": 194, "&amp;": 38}
+
+
+def _plain_sql(text: str) -> str:
+    out = f"regexp_replace({text}, '<[^>]+>', ' ', 'g')"
+    for name, code in REFERENCES.items():
+        out = f"replace({out}, '{name}', chr({code}))"
+    return f"trim(regexp_replace({out}, '{WHITE}', ' ', 'g'))"
+
+
+def _excerpt_sql(limit: int, domain: tuple[str, ...] = ()) -> str:
+    """The excerpt of column t nearest to column query, as columns of (t, query) rows named x."""
+    stop = ", ".join(f"'{w}'" for w in tx.FOCUS_STOPWORDS)
+    special = ", ".join(f"'{w}'" for w in domain) or "''"
+    return f"""(select case when length(t) <= {limit} then t else case when begin > 0 then '...' else '' end || trim(substring(t, begin + 1, {limit})) || case when begin + {limit} < length(t) then '...' else '' end end
+      from (select coalesce(greatest(0, -best.before - 1 - {max(80, limit // 4)}), 0) as begin from (select list_max(list_filter(list_transform(case when len(list_filter(w, lambda a: a not in ({special}))) > 0 then list_filter(w, lambda a: a not in ({special})) else w end,
+        lambda a: {{'n': length(a), 'before': -instr(lower(t), a)}}), lambda p: p.before < 0)) as best from (select list_filter(list_transform(regexp_extract_all(query, '[A-Za-z0-9_-]{{4,}}'), lambda a: lower(a)), lambda a: a not in ({stop})) as w))))"""
+
+
+LISTED = """with first as (select chunk_id, arg_min(struct_pack(i := chunk_index, source_repo := source_repo, file_path := file_path, doc_type := doc_type, last_updated := last_updated), hit_id) as r
+  from search_hits where source_repo is not null and file_path is not null and chunk_id is not null group by 1),
+listed as (select arg_min(r, (r.i, chunk_id)) as r, count(*) as chunks, max(r.last_updated) as last_updated from first group by r.source_repo, r.file_path) """
+HITS = "(select distinct on (hit_id) * from search_hits)"
+DISPLAY = "case when length(t) <= 260 then t else rtrim(left(t, 259)) || '...' end"
+DECIDED = f"""with recursive q as (select id as query_id, ts as t, case when id % 5 = 0 then '10.0.0.' else '8.8.4.' end || (id % 7) as caller, id % 3 = 0 and id % 5 = 0 as exempt, query, cast(id % 13 as integer) as top_k from {LOG} where ts is not null),
+s as (select query_id, caller, t, row_number() over (partition by caller order by t, query_id) as i from q where not exempt),
+f as (select s.*, true as accepted, [t] as held from s where i = 1 union all
+select s.query_id, s.caller, s.t, s.i, len(list_filter(f.held, lambda x: s.t - x <= 3600)) < {{limit}},
+  case when len(list_filter(f.held, lambda x: s.t - x <= 3600)) < {{limit}} then list_append(list_filter(f.held, lambda x: s.t - x <= 3600), s.t) else list_filter(f.held, lambda x: s.t - x <= 3600) end
+from f join s on s.caller = f.caller and s.i = f.i + 1),
+decided as (select q.query_id, q.t, q.query, case when not coalesce(f.accepted, true) then 'limited' when query is null or length(query) < 1 or length(query) > 500 or top_k < 1 or top_k > 10 then 'invalid'
+  when not exempt and {GUARD_SQL} is not null then 'refused' else 'answered' end as decision, cast(least(top_k, 10) as integer) as k, exempt from q left join f using (query_id))
+"""
 
 
 def queries() -> dict[str, Query]:
     names = """tokenize_terms word_window_chunks chunk_router chunk_documents adr_records html_to_text display_excerpt prompt_excerpt corpus_stats bm25_idf bm25_topk lexical_degraded
     vector_topk lsh_topk lsh_recall hybrid_topk search_hits_hydrated rrf_fuse compare_vector_hybrid fallback_answer answer_sources converge_stale converge_prune converge_stats converge_store
-    dedup_last_wins dedup_first_wins index_listing index_totals guard_refusals request_validation rate_limit query_stats top_terms window_summary hourly_log hourly_summary_stream rate_limit_stream p3_found"""
+    dedup_last_wins dedup_first_wins index_listing index_totals guard_refusals request_validation rate_limit query_stats top_terms window_summary hourly_log hourly_windows summary_payload hourly_summary_stream rate_limit_stream p3_found p3_runs
+    lsh_recalls_enough comparison_report embed_texts request_decisions service_search service_log ask_answers ingest_pass"""
     return {n: globals()[n] for n in names.split()}
 
 
@@ -360,8 +488,29 @@ def oracle_sql() -> dict[str, str]:
           select chunk_id, chunk_index, length(text) as n_chars, md5(text) as digest from t""",
         "chunk_router": r"""select case when doc_type = 'adr' then 'adr' else coalesce(case lower(regexp_extract(file_path, '[^/](\.[^./]+)$', 1)) when '.py' then 'python' when '.js' then 'javascript' when '.mjs' then 'javascript' when '.cjs' then 'javascript'
           when '.jsx' then 'javascript' when '.ts' then 'typescript' when '.tsx' then 'typescript' when '.json' then 'json' when '.toml' then 'toml' when '.yaml' then 'yaml' when '.yml' then 'yaml' end, 'prose') end as kind, doc_type, count(*) as documents from documents group by all""",
-        "display_excerpt": f"""with c as (select doc_id, trim(regexp_replace(regexp_replace(text, '<[^>]+>', ' ', 'g'), '{WHITE}', ' ', 'g')) as t from documents where text is not null and not contains(text, '&'))
-          select doc_id, case when length(t) <= 260 then t else rtrim(left(t, 259)) || '...' end as excerpt from c""",
+        "display_excerpt": f"select doc_id, {DISPLAY} as excerpt from (select doc_id, {_plain_sql('text')} as t from documents where text is not null)",
+        "prompt_excerpt": f"select hit_id, {_excerpt_sql(900, DOMAIN)} as excerpt from (select hit_id, q.query, {_plain_sql('h.text')} as t from {HITS} h join {LOG} q on q.id = h.query_id where h.text is not null) x",
+        "answer_sources": f"select query_id, rank, source_repo as repo, file_path as file, {_excerpt_sql(260)} as excerpt from (select h.query_id, h.hit_rank as rank, h.source_repo, h.file_path, q.query, {_plain_sql('h.text')} as t from {HITS} h join {LOG} q on q.id = h.query_id where h.text is not null and h.hit_rank <= 3) x",
+        "fallback_answer": f"""with h as (select query_id, hit_rank as rank, coalesce(score, 0.0) as score, {_plain_sql('text')} as t from {HITS} where text is not null),
+          x as (select query_id, list({{'rank': rank, 'e': {DISPLAY}}} order by rank, {DISPLAY}) as s from h where rank <= 2 group by 1), best as (select query_id, max(score) as best from h group by 1),
+          j as (select q.id as query_id, q.id % 2 = 0 as unavailable, s, coalesce(best, 0.0) as best, array_to_string(list_transform(s, lambda a: a.e), ' ') as joined from {LOG} q left join x on x.query_id = q.id left join best b on b.query_id = q.id),
+          k as (select *, case when length(joined) <= 420 then joined else rtrim(left(joined, 419)) || '...' end as said from j)
+          select query_id, case when s is null then '{answers.NOTHING}' when not unavailable and best < 0.5 then '{_quoted(answers.UNCLEAR)}' when unavailable then '{answers.UNAVAILABLE}' || said else '{answers.LATE}' || said end as answer,
+            cast(case when s is null or not unavailable and best < 0.5 then 0 else len(s) end as integer) as n_sources, unavailable as degraded from k""",
+        "search_hits_hydrated": HYBRID + """, hits as (select query_id, rank, round(coalesce(list_cosine_similarity(c.embedding::double[], hq.vector::double[]), 0.0), 4) as score, chunk_id, false as degraded from top join hq using (query_id) join """ + CHUNKS + """ c using (chunk_id) where rank <= 5
+          union all select query_id, rank, 0.0 as score, chunk_id, true from ranked where rank <= 5 and query_id not in (select query_id from hq))
+          select query_id, cast(rank as integer) as rank, score, chunk_id, coalesce(d.text, '') as text, d.source as source_repo, d.file_path, coalesce(d.doc_type, '') as doc_type, coalesce(d.last_updated, '') as last_updated, 0 as chunk_index, degraded from hits join documents d on sha1(d.source || ':' || d.file_path || ':0') = chunk_id""",
+        "lsh_recalls_enough": "select true as enough",
+        "embed_texts": f"""with t as (select query, unnest({TOKENS.replace('text', 'query')}) as term from (select distinct query from queries where query is not null)),
+          h as (select query, cast('0x' || left(md5(term), 6) as integer) % 32 as place, case when cast('0x' || substring(md5(term), 7, 1) as integer) % 2 = 1 then 1 else -1 end as sign from t),
+          v as (select query, place, sum(sign)::double as n from h group by all)
+          select query, cast(place as integer) as place, round(n / sqrt(sum(n * n) over (partition by query)), 9) as value from v qualify n <> 0""",
+        "request_decisions": DECIDED.replace("{limit}", "6") + "select query_id, decision, k, exempt from decided",
+        "p3_runs": P3_SQL,
+        "hourly_windows": f"select w.s as window_start, count(q.id) as queries from (select unnest(range({SINCE - SINCE % 3600}, {UNTIL - UNTIL % 3600}, 3600)) as s) w left join {LOG} q on cast(floor(q.ts / 3600) * 3600 as bigint) = w.s group by 1",
+        "summary_payload": _terms_sql() + f"""select 'siltstone' as source, strftime(make_timestamp({SINCE}::bigint * 1000000), '%Y-%m-%dT%H:%M:%SZ') as window_start, strftime(make_timestamp({UNTIL}::bigint * 1000000), '%Y-%m-%dT%H:%M:%SZ') as window_end,
+          (select count(*) from {LOG} where ts >= {SINCE} and ts < {UNTIL}) as count, (select list(term || '=' || count order by count desc, first, term) from (select * from ranked order by count desc, first, term limit 5)) as top_terms,
+          (select count(*) from {LOG} where ts >= {NOW - NOW % 86400}) as queries_today, (select count(*) from {LOG}) as queries_total, (select strftime(make_timestamp(max(ts) * 1000000), '%Y-%m-%dT%H:%M:%SZ') from {LOG}) as last_query_at""",
         "corpus_stats": f"select count(*) as n_chunks, sum(len(t))::bigint as n_tokens, round(avg(len(t)), 9) as avg_length from (select {TOKENS} as t from documents where text is not null) where len(t) > 0",
         "bm25_idf": BM25 + "select term, df, round(idf, 9) as idf from idf",
         "bm25_topk": BM25 + "select query_id, chunk_id, score, rank from ranked where rank <= 10",
@@ -377,11 +526,11 @@ def oracle_sql() -> dict[str, str]:
         "converge_stale": STORED + "select doc_key, count(*) as stale from old where doc_key in (select doc_key from new) and chunk_id not in (select chunk_id from new) group by 1",
         "converge_prune": STORED + "select doc_key, count(*) as withdrawn from old where doc_key not in (select doc_key from new) group by 1",
         "converge_stats": STORED + "select (select count(distinct doc_key) from new) as documents, (select count(*) from new) as chunks, (select count(*) from old where chunk_id not in (select chunk_id from new)) as deleted, (select count(*) from (select distinct source || ':' || file_path as k from documents) where k not in (select doc_key from new)) as skipped",
-        "converge_store": STORED + "select 'new' as version, count(*) as chunks from new",
+        "converge_store": STORED + "select case when o.chunk_id is null then 'insert' when n.chunk_id is null then 'delete' else 'replace' end as action, count(*) as chunks from old o full join new n using (chunk_id) group by 1",
         "dedup_last_wins": f"select key_repo, key_path, max(entry_id) as entry_id, arg_max(chunks, entry_id) as chunks from {KEYED} group by 1, 2",
         "dedup_first_wins": f"select key_repo, key_path, min(entry_id) as entry_id, arg_min(chunks, entry_id) as chunks from {KEYED} group by 1, 2",
-        "index_listing": "select source_repo, file_path, count(distinct chunk_id) as chunks from search_hits where source_repo is not null and file_path is not null group by all",
-        "index_totals": "select count(distinct source_repo || ':' || file_path) as documents, count(distinct chunk_id) as chunks from search_hits where source_repo is not null and file_path is not null",
+        "index_listing": LISTED + "select r.source_repo, r.file_path, r.doc_type, chunks, last_updated from listed",
+        "index_totals": LISTED + "select count(*) as documents, cast(coalesce(sum(chunks), 0) as bigint) as chunks, max(last_updated) as last_refresh from listed",
         "guard_refusals": f"select id, category from (select id, {GUARD_SQL} as category from {LOG}) where category is not null",
         "request_validation": f"select case when query is null or length(query) < 1 then 'query is empty' when length(query) > 500 then 'query is too long' when id % 13 < 1 or id % 13 > 10 then 'top_k is out of range' end as problem, cast(least(id % 13, 10) as integer) as k, count(*) as requests from {LOG} group by all",
         "query_stats": f"select count(*) as total, count(*) filter (ts >= {NOW - 3600}) as last_hour, count(*) filter (ts >= {NOW - NOW % 86400}) as today, strftime(make_timestamp(max(ts) * 1000000), '%Y-%m-%dT%H:%M:%SZ') as last_query_at, strftime(make_timestamp({NOW}::bigint * 1000000), '%Y-%m-%dT%H:%M:%SZ') as generated_at from {LOG}",
@@ -394,6 +543,10 @@ def oracle_sql() -> dict[str, str]:
     }
 
 
+def _quoted(text: str) -> str:
+    return text.replace("'", "''")
+
+
 def _terms_sql() -> str:
     stop = ", ".join(f"'{w}'" for w in tx.LOG_STOPWORDS)
     return f"""with t as (select ts, id, unnest(x) as term, generate_subscripts(x, 1) as pos from (select ts, id, regexp_extract_all(lower(query), '[a-z0-9][a-z0-9\\-]{{2,}}') as x from {LOG} where ts >= {SINCE} and ts < {UNTIL})),

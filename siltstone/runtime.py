@@ -2,18 +2,25 @@
 
 Every table that an operator writes between stages goes to the folder that the session
 names in ``spark.checkpoint.dir``, which all executors share. Only where that setting is
-absent (tests, a laptop) a local folder is made and set.
+absent and the master is local (tests, a laptop) a local folder is made and set; on a cluster that is an error, as
+each executor would write to a disk of its own.
+
+Such tables are needed until the result that reads them has been written. ``release`` deletes those of a session that
+are left; ``drop`` deletes one that nothing reads any more.
 """
 
 from __future__ import annotations
 
-import os
+import atexit
+import re
+import shutil
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 SHARED = "spark.checkpoint.dir"
+_written: list[str] = []
 
 
 def session(cores: int | str = "*", shuffle_partitions: int = 8, memory: str = "8g") -> SparkSession:
@@ -38,7 +45,11 @@ def shared_dir(spark: SparkSession) -> str:
     if not named:
         named = spark.sparkContext.getCheckpointDir()
     if not named:
-        named = "file://" + tempfile.mkdtemp(prefix="siltstone-")
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise RuntimeError(f"{SHARED} must name a folder that all executors share")
+        made = tempfile.mkdtemp(prefix="siltstone-")
+        atexit.register(shutil.rmtree, made, True)
+        named = "file://" + made
         spark.conf.set(SHARED, named)
     return named.rstrip("/")
 
@@ -53,7 +64,23 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     executor costs no recomputation of what came before."""
     path = new_path(df.sparkSession, name)
     df.write.mode("overwrite").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    held = df.sparkSession.read.schema(df.schema).parquet(path)
+    held._written = path
+    _written.append(path)
+    return held
+
+
+def drop(df: DataFrame) -> None:
+    """Delete what ``materialise`` wrote for ``df``: nothing may read it any more."""
+    if (path := getattr(df, "_written", None)) in _written:
+        remove(df.sparkSession, path)
+        _written.remove(path)
+
+
+def release(spark: SparkSession) -> None:
+    """Delete all tables between stages of this process; results not yet written can't be computed afterwards."""
+    while _written:
+        remove(spark, _written.pop())
 
 
 def spread(df: DataFrame) -> DataFrame:
@@ -87,7 +114,3 @@ def remove(spark: SparkSession, path: str) -> None:
 
 def cores_for_shuffle(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
-
-
-def repo_root() -> str:
-    return os.path.dirname(os.path.dirname(os.path.abspath(__file__)))

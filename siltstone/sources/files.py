@@ -17,7 +17,7 @@ DOCUMENT = "source_repo string, file_path string, doc_type string, text string"
 
 def decoded(content: Column) -> Column:
     """Bytes as UTF-8, invalid ones as replacement characters."""
-    return content.cast("string")
+    return F.make_valid_utf8(content.cast("string"))
 
 
 def landed(spark: SparkSession, root: str, glob: str = "*") -> DataFrame:
@@ -28,6 +28,11 @@ def landed(spark: SparkSession, root: str, glob: str = "*") -> DataFrame:
     return named.select(F.substring_index("rel", "/", 1).alias("source_repo"), F.expr("substring(rel, locate('/', rel) + 1)").alias("file_path"), decoded(F.col("content")).alias("text"))
 
 
+def repositories(spark: SparkSession, path: str) -> DataFrame:
+    """The listing of repositories as it was landed: JSON lines; flags that are absent are null."""
+    return spark.read.schema("name string, fork boolean, archived boolean, private boolean").json(path)
+
+
 def wanted_repos(repos: DataFrame, excluded: str = "") -> DataFrame:
     """Repositories that are no forks, not archived, not private and not excluded (a comma list)."""
     names = [x.strip() for x in excluded.split(",") if x.strip()]
@@ -68,6 +73,18 @@ def record_folder(files: DataFrame, repo: str, prefix: str) -> DataFrame:
     return once.select("source_repo", "file_path", F.lit("adr").alias("doc_type"), "text")
 
 
+def listed_records(listing: DataFrame, texts: DataFrame, repo: str, prefix: str, host: str) -> DataFrame:
+    """Decision records of a folder's ``listing`` (name, type, download_url), with the ``texts`` (name, text) that were
+    fetched: all or nothing. If a record has no address on ``host`` by https, or no text was fetched for it, none comes
+    out, so that a partial set never replaces a whole one; a malformed record only drops out itself."""
+    wanted = listing.where((F.col("type") == "file") & F.col("name").endswith(".md") & ~F.col("name").isin("TEMPLATE.md", "README.md"))
+    met = wanted.join(texts.select("name", "text"), "name", "left")
+    sound = F.coalesce(F.col("download_url").startswith(f"https://{host}/"), F.lit(False)) & F.col("text").isNotNull()
+    whole = met.agg(F.count_if(~sound).alias("faults")).where("faults = 0")
+    rows = met.join(F.broadcast(whole)).select(F.lit(repo).alias("source_repo"), F.concat(F.lit(prefix.strip("/") + "/"), "name").alias("file_path"), "text")  # one row or none
+    return record_folder(rows, repo, prefix)
+
+
 def gather(*parts: DataFrame) -> DataFrame:
     """All sources, in order: ``source_order`` decides which of two rows of one document is the later."""
     out = None

@@ -51,15 +51,31 @@ def limited(events: DataFrame, key: str, time_s: str, limit: int = admission.PER
     return rows.groupBy("key").applyInPandasWithState(step, f"key {kind}, t double, accepted boolean", "held array<double>", "append", GroupStateTimeout.NoTimeout)
 
 
-def keep_store(chunks: DataFrame, store: str, checkpoint: str):
-    """Upsert each micro-batch of chunks into the store, as a new snapshot named by its batch: a replayed batch writes
-    the same snapshot again. Returns the started query."""
+def keep_latest(counts: DataFrame, sink: str, checkpoint: str) -> None:
+    """Run a windowed aggregate in update mode: each micro-batch writes the groups that it changed to a folder of its own,
+    which a replay overwrites. State goes when the watermark has passed, and no batch rewrites what came before."""
 
     def step(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        latest = convergence.last_wins(batch, ["chunk_id"], [F.col("last_updated")])
-        old = convergence.current(spark, store)
-        fresh = latest if old is None else convergence.upsert(old.join(convergence.stale(old, latest).select("chunk_id"), "chunk_id", "left_anti"), latest)
-        convergence.publish(runtime.materialise(fresh, "store"), store, f"batch-{number}")
+        batch.write.mode("overwrite").parquet(f"{sink}/batch={number}")
 
-    return chunks.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    counts.writeStream.outputMode("update").foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+
+
+def latest(spark: SparkSession, sink: str, keys: list[str], value: str) -> DataFrame:
+    """What ``keep_latest`` wrote last of each group."""
+    return spark.read.parquet(sink).groupBy(*keys).agg(F.max_by(value, "batch").alias(value))
+
+
+def keep_store(chunks: DataFrame, store: str, checkpoint: str, every: str | None = None):
+    """Merge each micro-batch of chunks into the store (``convergence.merged``), as a new snapshot named by its batch: a
+    replayed batch writes the same snapshot again. ``every`` is the interval of a periodic refresh; without one, what is
+    there is taken and the query ends. Returns the started query."""
+
+    def step(batch: DataFrame, number: int) -> None:
+        # A replay finds its own snapshot current and merges into it, which changes nothing.
+        after = runtime.materialise(convergence.merged(convergence.current(batch.sparkSession, store), batch), "store")
+        convergence.publish(after, store, f"batch-{number}", marker=str(number))
+        runtime.drop(after)
+
+    when = {"processingTime": every} if every else {"availableNow": True}
+    return chunks.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(**when).start()

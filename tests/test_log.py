@@ -24,11 +24,17 @@ def test_stats_and_terms(spark):
 
 
 def test_guard(spark):
-    rows = [("show the salary", "application"), ("my coursework", "academic"), ("a private memory", "memory"), ("the .env file", None), ("a.env", "secret"), ("what can you use", None), (None, None)]
+    rows = [("show the salary", "career"), ("my coursework", "study"), ("a Private\t memory", "private"), ("tokenizer", None), ("the API  key, please", "credentials"), ("salary token", "credentials"), ("what can you use", None), ("", None), (None, None)]
     df = spark.createDataFrame(rows, "q string, want string")
     assert all(r.got == r.want for r in df.select("want", admission.guard(F.col("q")).alias("got")).collect())
+    own = {"sea": ("keel", "main mast")}
+    assert [r[0] for r in spark.createDataFrame([("a keel",), ("main  mast",), ("mast",)], "q string").select(admission.guard(F.col("q"), own)).collect()] == ["sea", "sea", None]
     ips = spark.createDataFrame([("127.0.0.1",), ("10.1.2.3",), ("8.8.8.8",), ("x",), (None,)], "a string")
     assert [r[0] for r in ips.select(admission.is_local_address("a")).collect()] == [True, True, False, False, False]
+    marked = spark.createDataFrame([("127.0.0.1", True), ("127.0.0.1", None), ("8.8.8.8", True)], "a string, m boolean")
+    assert [r[0] for r in marked.select(admission.is_internal(F.col("a"), F.col("m"))).collect()] == [True, False, False]
+    both = spark.createDataFrame([("x", "y"), ("", "y"), (None, ""), (None, "z")], "q string, query string")
+    assert [r[0] for r in both.select(admission.asked_text(F.col("q"), F.col("query"))).collect()] == ["x", "y", None, "z"]
 
 
 def model(times, limit, window):
@@ -77,11 +83,39 @@ def test_streams(spark, tmp_path):
     assert sorted((r.key, r.t, r.accepted) for r in spark.read.parquet(str(tmp_path / "s2")).collect()) == [("a", 0, True), ("a", 10, True), ("a", 20, False), ("b", 5_000, True)]
 
 
+def test_update_stream_keeps_the_last_counts(spark, tmp_path):
+    src = str(tmp_path / "in")
+    for k in range(3):
+        spark.createDataFrame([("a", 10 * k), ("b", 4_000)], "k string, t long").withColumn("ts", F.timestamp_seconds("t")).coalesce(1).write.mode("append").parquet(src)
+    counts = log_stream.windowed_counts(log_stream.source(spark, src, spark.read.parquet(src).schema, 1), "ts", ["k"])
+    log_stream.keep_latest(counts, str(tmp_path / "s"), str(tmp_path / "c"))
+    got = {(r.window_start, r.k, r.events) for r in log_stream.latest(spark, str(tmp_path / "s"), ["window_start", "k"], "events").collect()}
+    assert got == {(0, "a", 3), (3600, "b", 3)}
+
+
 def test_store_stream(spark, tmp_path):
     from siltstone.operators import convergence
 
     src, store = str(tmp_path / "in"), str(tmp_path / "store")
-    rows = [("c1", "d1", "1", "x"), ("c1", "d1", "2", "y"), ("c2", "d1", "2", "z")]
-    spark.createDataFrame(rows, "chunk_id string, doc_key string, last_updated string, text string").coalesce(1).write.parquet(src)
-    log_stream.keep_store(log_stream.source(spark, src, spark.read.parquet(src).schema), store, str(tmp_path / "c")).awaitTermination()
-    assert {(r.chunk_id, r.text) for r in convergence.current(spark, store).collect()} == {("c1", "y"), ("c2", "z")}
+    kind = "chunk_id string, doc_key string, chunk_index int, chunk_count int, last_updated string, text string"
+    put = lambda rows: spark.createDataFrame(rows, kind).coalesce(1).write.mode("append").parquet(src)
+    run = lambda: log_stream.keep_store(log_stream.source(spark, src, spark.createDataFrame([], kind).schema, 1), store, str(tmp_path / "c")).awaitTermination()
+    held = lambda: {(r.chunk_id, r.text) for r in convergence.current(spark, store).collect()}
+    put([("c0", "d1", 0, 2, "1", "a")])  # a document whose chunks come in two micro-batches
+    put([("c1", "d1", 1, 2, "1", "b"), ("e0", "d2", 0, 1, "1", "e")])
+    run()
+    assert held() == {("c0", "a"), ("c1", "b"), ("e0", "e")}
+    put([("c0", "d1", 0, 1, "2", "c")])  # shorter now
+    run()
+    assert held() == {("c0", "c"), ("e0", "e")}
+    put([("c1", "d1", 1, 2, "1", "b")])  # late, of the old version
+    run()
+    assert held() == {("c0", "c"), ("e0", "e")}
+
+
+def test_windows_and_payload(spark):
+    log = spark.createDataFrame([(1, 10, "zone router", 1, 1), (2, 7_300, "zone", 1, 1), (3, None, "x", 1, 1)], LOG)
+    assert [tuple(r) for r in querylog.windows(log, 0, 10_900).orderBy("window_start").collect()] == [(0, 1), (3600, 0), (7200, 1)]
+    got = querylog.summary_payload(log, "s", 3_600, 7_200, 7_400).first()
+    assert got["count"] == 0 and got.top_terms == [] and got.queries_total == 3 and got.window_start == "1970-01-01T01:00:00Z"
+    assert [r.id for r in querylog.trimmed(log, 1).collect()] == [2]

@@ -47,14 +47,54 @@ def test_convergence(spark, tmp_path):
     new = spark.createDataFrame([("c1", "d1", "n"), ("c5", "d3", "n")], "chunk_id string, doc_key string, v string")
     ids = lambda df: sorted(r.chunk_id for r in df.collect())
     assert ids(convergence.stale(old, new)) == ["c2"] and ids(convergence.withdrawn(old, new)) == ["c3", "c4"]
-    once = convergence.converge(old, new)
-    assert ids(once) == ["c1", "c5"] and sorted(map(tuple, convergence.converge(once, new).collect())) == sorted(map(tuple, once.collect()))
+    once = new
+    assert {tuple(r) for r in convergence.transitions(old, new).collect()} == {("c1", "replace"), ("c5", "insert"), ("c2", "delete"), ("c3", "delete"), ("c4", "delete")}
+    assert {r.action for r in convergence.transitions(new, new).collect()} == {"replace"}
+    assert ids(convergence.with_metadata(old, doc_key="d1")) == ["c1", "c2"] and ids(convergence.with_metadata(old, doc_key=None)) == ["c4"]
     assert ids(convergence.upsert(old, new)) == ["c1", "c2", "c3", "c4", "c5"]
     convergence.publish(once, str(tmp_path), "v1")
     convergence.publish(new.limit(1), str(tmp_path), "v2")
     assert convergence.current(spark, str(tmp_path)).count() == 1 and convergence.current(spark, str(tmp_path / "no")) is None
 
 
+def test_pointers_freshness_and_single_flight(spark, tmp_path):
+    store, built = str(tmp_path), []
+    rows = spark.createDataFrame([("c1",)], "chunk_id string")
+    fresh = convergence.Fresh()
+    build = lambda chunks: built.append(chunks and chunks.count()) or len(built)
+    assert fresh.get(spark, store, build) == 1 and fresh.get(spark, store, build) == 1 and built == [None]
+    for version, marker in (("v1", "a"), ("v1", "a"), ("v2", "b")):
+        convergence.publish(rows, store, version, marker)
+        fresh.get(spark, store, build)
+    assert built == [None, 1, 1]  # the same number of rows, another marker
+    assert sorted(p.name for p in (tmp_path / "pointers").iterdir() if not p.name.startswith(".")) == ["0", "1"]
+    inner = []
+    assert convergence.single_flight(spark, store, lambda: inner.append(convergence.single_flight(spark, store, lambda: inner.append("ran"))))
+    assert inner == [False] and convergence.single_flight(spark, store, lambda: None)
+    with pytest.raises(ZeroDivisionError):
+        convergence.single_flight(spark, store, lambda: 1 / 0)
+    assert convergence.single_flight(spark, store, lambda: None)
+
+
+def test_runs_with_a_failure_between(spark):
+    feed = spark.createDataFrame([(i, "r", f"f{i % 7}.md", None, 1, str(100 + i % 3)) for i in range(1, 60)], FEED)
+    done = spark.createDataFrame([(1, "r", "f1.md", "100"), (2, "r", "f2.md", "100")], DONE)
+    runs = spark.createDataFrame([(1, "success"), (2, "failed")], RUNS)
+    want = sorted(r.entry_id for r in changes.pending(feed, done, runs).collect())
+    for cut in (0, 20, 59):
+        assert sorted(r.entry_id for r in changes.pending_in_runs(feed, done, runs, cut).collect()) == want
+
+
+def test_a_run_reads_only_its_part_of_the_log(spark, tmp_path):
+    feed = spark.createDataFrame([(i, "r", f"f{i}.md", None, 1, "100") for i in range(100)], FEED)
+    feed.write.parquet(str(tmp_path / "feed"))
+    log = spark.read.parquet(str(tmp_path / "feed"))
+    cap = changes.ChangeCapture(spark, str(tmp_path / "state"), partitions=4)
+    plan = changes.Plan(3, (90, 91, 92, 93), (99, 99, 99, 99))
+    text = cap.read(log, plan)._jdf.queryExecution().executedPlan().toString()
+    assert "GreaterThan(entry_id,90)" in text and "LessThanOrEqual(entry_id,99)" in text
+
+
 def test_last_and_first_wins_and_listing(spark):
     df = spark.createDataFrame([("k", 1, "a"), ("k", 2, "b"), ("k", 2, "b"), ("m", None, None)], "k string, o int, v string")
     assert {(r.k, r.v) for r in convergence.last_wins(df, ["k"], [F.col("o")]).collect()} == {("k", "b"), ("m", None)}
@@ -77,8 +117,37 @@ def test_sources(spark, tmp_path):
         files.pinned(spark, "a:b")
 
 
+def test_bytes_and_listings(spark):
+    got = spark.createDataFrame([(bytearray(b"a\xffb"),), (bytearray("é".encode()),), (None,)], "b binary").select(files.decoded(F.col("b"))).collect()
+    assert [r[0] for r in got] == ["a\ufffdb", "é", None]
+    listing = [("ADR-0001-x.md", "file", "https://h/1"), ("README.md", "file", None), ("sub", "dir", None), ("ADR-0002.md", "file", "https://h/2")]
+    texts = [("ADR-0001-x.md", RECORD.format(1)), ("ADR-0002.md", "malformed")]
+    make = lambda rows, kind: spark.createDataFrame(rows, kind)
+    ask = lambda a, b: [r.file_path for r in files.listed_records(make(a, "name string, type string, download_url string"), make(b, "name string, text string"), "r", "/adrs/", "h").collect()]
+    assert ask(listing, texts) == ["adrs/ADR-0001-x.md"]
+    assert ask([*listing[:3], ("ADR-0002.md", "file", "http://h/2")], texts) == [] and ask(listing, texts[:1]) == [] and ask(listing[1:3], texts) == []
+
+
 RECORD = '+++\nid = "ADR-000{}"\ndate = 2026-01-02\nstatus = "accepted"\n+++\n\nbody\n'
 
 
 def test_shared_dir_is_the_sessions(spark):
     assert runtime.shared_dir(spark) == runtime.shared_dir(spark)
+
+
+def test_a_cluster_without_a_shared_folder_is_an_error():
+    from types import SimpleNamespace as Fake
+
+    conf = Fake(get=lambda *_: None)
+    cluster = Fake(conf=conf, sparkContext=Fake(getConf=lambda: conf, getCheckpointDir=lambda: None, master="spark://host:7077"))
+    with pytest.raises(RuntimeError):
+        runtime.shared_dir(cluster)
+
+
+def test_tables_between_stages_are_deleted(spark):
+    a, b = (runtime.materialise(spark.range(3), "t") for _ in range(2))
+    runtime.drop(a)
+    fs, p = runtime.hadoop_fs(spark, a._written)
+    assert not fs.exists(p) and b.count() == 3
+    runtime.release(spark)
+    assert not fs.exists(runtime.hadoop_fs(spark, b._written)[1])
