@@ -280,7 +280,7 @@ def style_tree(texts: DataFrame) -> DataFrame:
     return nodes.groupBy("host", "path").agg(F.max("m").alias("pages"), F.max("importance").alias("importance"))
 
 
-def without_furniture(texts: DataFrame, least: float = 0.3, pages: int = 5) -> DataFrame:
+def without_furniture(texts: DataFrame, least: float = 0.3, pages: int = 5, salts: int = 16) -> DataFrame:
     """``texts`` (id, host, text) without the branches whose importance is under ``least`` on hosts
     where at least ``pages`` pages have them. Texts without block elements pass by."""
     has = F.col("text").rlike(r"(?i)<(?:" + "|".join(sorted(BLOCKS)) + r")\b")
@@ -298,8 +298,12 @@ def without_furniture(texts: DataFrame, least: float = 0.3, pages: int = 5) -> D
                 out.append(text)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.string())], ["id", "host", "text"])
 
-    # One row a host; the paths of low importance on a host are few, as each is on many pages.
-    pruned = tagged.join(low, tagged["host"].eqNullSafe(low["host"]), "left").select(tagged["id"], tagged["host"], "text", "low").mapInArrow(run, "id bigint, host string, text string")
+    # One row a host; the paths of low importance on a host are few, as each is on many pages. A host may have a third of
+    # all pages, so its pages are spread over salts, and its row meets each.
+    salted = tagged.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(salts)).cast("int"))
+    parts = low.select(F.col("host").alias("low_host"), "low", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("low_salt"))
+    met = salted.join(parts, F.col("host").eqNullSafe(F.col("low_host")) & (F.col("salt") == F.col("low_salt")), "left")
+    pruned = met.select("id", "host", "text", "low").mapInArrow(run, "id bigint, host string, text string")
     return pruned.unionByName(texts.where(~has))
 
 

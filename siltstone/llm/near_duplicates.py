@@ -205,8 +205,9 @@ def classes(signed: DataFrame) -> DataFrame:
     return signed.groupBy("cls").agg(F.min("id").alias("rep"), F.first("keys", ignorenulls=True).alias("keys"), F.first("bits", ignorenulls=True).alias("bits"))
 
 
-def candidates(held: DataFrame, s: Settings) -> tuple[DataFrame, DataFrame]:
-    """(cls_a, cls_b) that share enough band keys, from buckets up to the cap, and the (cls) of larger ones."""
+def candidates(held: DataFrame, s: Settings) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(cls_a, cls_b) that share enough band keys, from buckets up to the cap; the (cls) of larger ones; and the table of
+    buckets that both read."""
     keyed = held.select("cls", F.explode("keys").alias("key"))
     place = F.row_number().over(W.partitionBy("key").orderBy("cls"))
     few = keyed.withColumn("place", place).where(F.col("place") <= s.bucket_cap + 1)  # cut in each task, before the shuffle
@@ -215,7 +216,8 @@ def candidates(held: DataFrame, s: Settings) -> tuple[DataFrame, DataFrame]:
     agree = ahead.select("cls_a", F.explode(F.expr("slice(c, at + 2, size(c))")).alias("cls_b")).groupBy("cls_a", "cls_b").agg(F.count("*").alias("shared"))
     hot = buckets.where(F.size("c") > s.bucket_cap).select("key", F.explode(F.sequence(F.lit(0), F.lit(s.salts - 1))).alias("salt"))
     large = keyed.withColumn("salt", F.pmod(F.xxhash64("cls"), F.lit(s.salts)).cast("int")).join(hot, ["key", "salt"], "left_semi").select("cls").distinct()
-    return agree.where(F.col("shared") >= s.min_shared).select("cls_a", "cls_b"), large if not buckets.where(F.size("c") > s.bucket_cap).isEmpty() else held.select("cls").limit(0)
+    likely = agree.where(F.col("shared") >= s.min_shared).select("cls_a", "cls_b")
+    return likely, held.select("cls").limit(0) if buckets.where(F.size("c") > s.bucket_cap).isEmpty() else large, buckets
 
 
 def least_agreement(s: Settings) -> float:
@@ -251,12 +253,14 @@ def near_duplicates(table: DataFrame, id_col: str, text_col: str, s: Settings =
     texts = table.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"))
     signed = runtime.materialise(signatures(texts, s), "signatures")
     held = runtime.materialise(classes(signed), "classes")
-    likely, large = candidates(held, s)
+    members = runtime.materialise(signed.select("id", "cls").distinct().join(held.select("cls", "rep"), "cls").select("id", "rep"), "members")
+    runtime.drop(signed)
+    likely, large, buckets = candidates(held, s)
     large = runtime.materialise(large, "hot")
-    members = signed.select("id", "cls").distinct().join(held.select("cls", "rep"), "cls").select("id", "rep")
     of = lambda x: held.select(F.col("cls").alias(f"cls_{x}"), F.col("rep").alias(f"rep_{x}"), F.col("bits").alias(f"bits_{x}"))
     by_id = agreeing(likely.join(of("a"), "cls_a").join(of("b"), "cls_b"), s).select(F.least("rep_a", "rep_b").alias("id_a"), F.greatest("rep_a", "rep_b").alias("id_b"))
     by_id = runtime.materialise(by_id, "pairs")
+    runtime.drop(buckets)
     once = texts.where(F.col("id").isNotNull() & F.col("text").isNotNull())
     links = verified(by_id, once, s)
     if not large.isEmpty():
@@ -305,6 +309,7 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
         after = runtime.materialise(star(star(edges, True), False), "edges")
         same = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
         changed = after.join(same, ["u", "v"], "left_anti").limit(1).count() or same.join(after, ["u", "v"], "left_anti").limit(1).count()
+        runtime.drop(edges)
         edges = after
         if not changed:
             break

@@ -34,13 +34,20 @@ def log_tokens(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(LOG_TOKEN), F.lit(0))
 
 
+def _runs(terms: Column) -> Column:
+    """(term, n) of each distinct term of a sorted array, in one walk: where runs begin, then how long each is."""
+    once = lambda value, of: F.element_at(F.transform(F.array(value), of), 1)  # noqa: E731 - what is bound is worked out once
+    begins = lambda t: F.filter(F.sequence(F.lit(1), F.size(t)), lambda i: (i == 1) | (F.get(t, i - 1) != F.get(t, i - 2)))
+    lengths = lambda t, b: F.transform(b, lambda x, i: F.struct(F.get(t, x - 1).alias("term"), (F.coalesce(F.get(b, i + 1), F.size(t) + 1) - x).alias("n")))
+    return once(terms, lambda t: once(begins(t), lambda b: lengths(t, b)))
+
+
 def bitmaps(records: DataFrame, id_col: str, terms: Column) -> DataFrame:
     """(term, plane, word, bits): the layout of the module. ``terms`` is an array column of
-    ``records``; ids may be any bigint (a word holds id >> 6, arithmetic shift)."""
-    sorted_terms = records.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("bigint").alias("_id"), F.array_sort(terms).alias("_terms")).where(F.size("_terms") > 0)
-    at = sorted_terms.select("_id", "_terms", F.posexplode("_terms").alias("_at", "term"))
-    plane = (F.col("_at") - F.array_position("_terms", F.col("term")) + 2).cast("int")
-    rows = at.select("term", plane.alias("plane"), F.shiftright("_id", 6).alias("word"), F.expr("shiftleft(1L, cast(_id & 63 as int))").alias("bit"))
+    ``records``; ids may be any bigint (a word holds id >> 6, arithmetic shift). The work is linear in the terms of a text."""
+    full = records.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("bigint").alias("_id"), F.array_sort(terms).alias("_terms")).where(F.size("_terms") > 0)
+    runs = full.select("_id", F.explode(_runs(F.col("_terms"))).alias("r")).select("_id", "r.term", F.explode(F.sequence(F.lit(1), F.col("r.n"))).alias("plane"))
+    rows = runs.select("term", "plane", F.shiftright("_id", 6).alias("word"), F.expr("shiftleft(1L, cast(_id & 63 as int))").alias("bit"))
     return rows.groupBy("term", "plane", "word").agg(F.bit_or("bit").alias("bits"))
 
 
