@@ -2,7 +2,9 @@
 queries.
 
 The queries are a batch, so their distinct term lists are scored once, however often one is asked, and in
-blocks against all chunks, each task keeping the best of its own.
+blocks against all chunks, each task keeping the best of its own. The chunks are tokenised once, into a table of counted
+terms; frequencies and all blocks read that. A block is run, written and let go before the next one begins, so the driver
+and the tasks hold one block's weights at a time.
 
 Ranks are by the score rounded to 9 places, then by chunk_id: sums differ in the last bits by the order of
 their terms. Chunks without terms don't count. Null texts have no terms. A query without terms, or
@@ -16,7 +18,10 @@ from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -43,27 +48,48 @@ def postings(chunks: DataFrame) -> DataFrame:
     return tokenised(chunks).select("chunk_id", "n", F.explode("terms").alias("term")).groupBy("term", "chunk_id", "n").agg(F.count("*").alias("tf"))
 
 
-def idf(chunks: DataFrame) -> DataFrame:
-    """(term, df, idf); a negative idf becomes EPSILON times the mean of all."""
-    df = tokenised(chunks).select(F.explode(F.array_distinct("terms")).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
-    total = tokenised(chunks).agg(F.count("*").alias("n_chunks"))
+def counted(chunks: DataFrame) -> DataFrame:
+    """(chunk_id, n, terms, tfs): the distinct terms of each chunk that has some, and how often each comes in it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            bags = [Counter(t) for t in batch.column(1).to_pylist()]
+            terms, tfs = pa.array([list(x) for x in bags], pa.list_(pa.string())), pa.array([list(x.values()) for x in bags], pa.list_(pa.int32()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), terms, tfs], ["chunk_id", "n", "terms", "tfs"])
+
+    return runtime.spread(tokenised(chunks)).mapInArrow(run, "chunk_id string, n int, terms array<string>, tfs array<int>")
+
+
+def idf_of(held: DataFrame) -> DataFrame:
+    """(term, df, idf) of ``counted`` chunks; a negative idf becomes EPSILON times the mean of all."""
+    df = held.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("df"))
+    total = held.agg(F.count("*").alias("n_chunks"))
     raw = df.crossJoin(F.broadcast(total)).select("term", "df", (F.log(F.col("n_chunks") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("raw"))  # one row
     mean = raw.agg(F.avg("raw").alias("mean"))
     return raw.crossJoin(F.broadcast(mean)).select("term", "df", F.round(F.when(F.col("raw") < 0, EPSILON * F.col("mean")).otherwise(F.col("raw")), 12).alias("idf"))  # one row
 
 
-def weights(chunks: DataFrame, queries: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(asked, weighted): (query_id, bag) of queries (query_id, query) with a term, and (bag, term, weight): the term's
-    frequency in the bag times its idf. A bag is a query's sorted terms; queries with the same bag share it."""
-    asked = queries.select("query_id", tx.tokens(F.col("query")).alias("q")).where(F.size("q") > 0).select("query_id", F.array_join(F.array_sort("q"), " ").alias("bag"))
+def idf(chunks: DataFrame) -> DataFrame:
+    return idf_of(tokenised(chunks).select(F.array_distinct("terms").alias("terms")))
+
+
+def bags(queries: DataFrame) -> DataFrame:
+    """(query_id, bag) of queries (query_id, query) with a term. A bag is a query's sorted terms; queries with the same
+    bag share it."""
+    return queries.select("query_id", tx.tokens(F.col("query")).alias("q")).where(F.size("q") > 0).select("query_id", F.array_join(F.array_sort("q"), " ").alias("bag"))
+
+
+def weights(asked: DataFrame, frequencies: DataFrame) -> DataFrame:
+    """(bag, term, weight): the term's frequency in the bag times its idf."""
     wanted = asked.select("bag").distinct().select("bag", F.explode(F.split("bag", " ")).alias("term")).groupBy("bag", "term").agg(F.count("*").alias("qf"))
-    return asked, wanted.join(idf(chunks).select("term", "idf"), "term").select("bag", "term", (F.col("qf") * F.col("idf")).alias("weight"))
+    return wanted.join(frequencies.select("term", "idf"), "term").select("bag", "term", (F.col("qf") * F.col("idf")).alias("weight"))
 
 
 def scores(chunks: DataFrame, queries: DataFrame) -> DataFrame:
     """(query_id, chunk_id, score) of every chunk that shares a term with a query, all of them, as a join on the term.
     For rankings ``bm25`` moves far less."""
-    asked, weighted = weights(chunks, queries)
+    asked = bags(queries)
+    weighted = weights(asked, idf(chunks))
     stats = tokenised(chunks).agg(F.avg("n").alias("avg"))
     hit = postings(chunks).join(weighted, "term").crossJoin(F.broadcast(stats))  # one row
     part = F.col("weight") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("n") / F.col("avg")))
@@ -78,61 +104,65 @@ def top_k(scored: DataFrame, k: int, by: str = "query_id") -> DataFrame:
     return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
-def _block(terms: DataFrame, table: dict[str, tuple[np.ndarray, np.ndarray]], bags: np.ndarray, average: float, k: int) -> DataFrame:
-    """The best ``k`` chunks of each Arrow batch for each bag of a block: (bag_no, chunk_id, score)."""
-    shared = terms.sparkSession.sparkContext.broadcast(table)
+ROWS = 1_024  # chunks that are scored together
+
+
+def _block(held: DataFrame, rows: pd.DataFrame, average: float, k: int) -> tuple[DataFrame, Broadcast]:
+    """The best ``k`` chunks of each part of the table for each bag of a block ``rows`` (bag_no, term, weight): (bag_no,
+    chunk_id, score); and what was sent to the tasks for it."""
+    rows = rows.sort_values("term", kind="stable")
+    numbers, bag = np.unique(rows["bag_no"].to_numpy(), return_inverse=True)
+    words, starts = np.unique(rows["term"].to_numpy().astype(str), return_index=True)
+    shared = held.sparkSession.sparkContext.broadcast((words.tolist(), np.append(starts, len(rows)), bag, rows["weight"].to_numpy(), numbers))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = shared.value
+        words, starts, bag, weight, numbers = shared.value
+        known, asked_by = pa.array(words, pa.string()), np.diff(starts)
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
+            for at in range(0, batch.num_rows, ROWS):
+                part = batch.slice(at, ROWS)
+                lists = part.column(2)
+                term = pc.fill_null(pc.index_in(lists.flatten(), value_set=known), -1).to_numpy(zero_copy_only=False)
+                row = np.repeat(np.arange(part.num_rows), lists.value_lengths().to_numpy())
+                met = term >= 0
+                term, row, tf = term[met], row[met], part.column(3).flatten().to_numpy()[met].astype(float)
+                n = part.column(1).to_numpy()[row]
+                gain = tf * (K1 + 1) / (tf + K1 * (1 - B + B * n / average))
+                # Each term of a chunk meets every bag that asks for it.
+                times = asked_by[term]
+                place = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times) + np.repeat(starts[:-1][term], times)
+                pair, where = np.unique(np.repeat(row, times) * len(numbers) + bag[place], return_inverse=True)
+                score = np.round(np.bincount(where, np.repeat(gain, times) * weight[place], len(pair)), 9)
+                q, r = pair % len(numbers), pair // len(numbers)
                 ids = np.array(part.column(0).to_pylist(), dtype=object)
-                sums, met = np.zeros((part.num_rows, len(bags))), np.zeros((part.num_rows, len(bags)), bool)
-                for row, (words, n) in enumerate(zip(part.column(1).to_pylist(), part.column(2).to_pylist())):
-                    share = K1 * (1 - B + B * n / average)
-                    for term, tf in Counter(words).items():
-                        if (found := index.get(term)) is not None:
-                            sums[row, found[0]] += found[1] * (tf * (K1 + 1) / (tf + share))
-                            met[row, found[0]] = True
-                sums = np.round(sums, 9)
-                out: tuple[list, list, list] = ([], [], [])
-                for q in np.nonzero(met.any(0))[0]:
-                    rows = np.nonzero(met[:, q])[0]
-                    s = sums[rows, q]
-                    if len(rows) > k:
-                        keep = s >= np.partition(s, len(s) - k)[len(s) - k]
-                        rows, s = rows[keep], s[keep]
-                    best = sorted(zip(-s, ids[rows]))[:k]
-                    out[0].extend([int(bags[q])] * len(best))
-                    out[1].extend(c for _, c in best)
-                    out[2].extend(-v for v, _ in best)
-                yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.string()), pa.array(out[2], pa.float64())], ["bag_no", "chunk_id", "score"])
-
-    return terms.select("chunk_id", "terms", "n").mapInArrow(run, "bag_no bigint, chunk_id string, score double")
+                order = np.lexsort((np.argsort(np.argsort(ids, kind="stable"), kind="stable")[r], -score, q))
+                q, r, score = q[order], r[order], score[order]
+                kept = np.arange(len(q)) - np.searchsorted(q, q) < k
+                yield pa.RecordBatch.from_arrays([pa.array(numbers[q[kept]]), pa.array(ids[r[kept]], pa.string()), pa.array(score[kept])], ["bag_no", "chunk_id", "score"])
+
+    return held.select("chunk_id", "n", "terms", "tfs").mapInArrow(run, "bag_no bigint, chunk_id string, score double"), shared
 
 
 def bm25(chunks: DataFrame, queries: DataFrame, k: int = 10, block: int = 2_048) -> DataFrame:
     """(query_id, chunk_id, score, rank), exact. The bags are taken in blocks of about ``block``; a block's weights (at
     most ``block`` times the terms of a query) go to all tasks, each scores its own chunks against the whole block and
-    sends on the best k a bag and batch. So no pair of query and chunk is shuffled that can't be in an answer."""
-    asked, weighted = weights(chunks, queries)
-    held = runtime.materialise(weighted.withColumn("bag_no", F.xxhash64("bag")).drop("bag"), "weights")
-    average = tokenised(chunks).agg(F.avg("n")).first()[0]
-    total = held.select("bag_no").distinct().count()
-    parts, terms = [], runtime.spread(tokenised(chunks))
-    for number in range(-(-total // block)):
-        mine = F.pmod(F.col("bag_no"), F.lit(-(-total // block))) == number
-        rows = held.where(mine).toPandas()  # a block
-        bags, at = np.unique(rows["bag_no"].to_numpy(), return_inverse=True)
-        order = np.argsort(rows["term"].to_numpy(), kind="stable")
-        words, starts = np.unique(rows["term"].to_numpy()[order].astype(str), return_index=True)
-        table = {w: (at[o], rows["weight"].to_numpy()[o]) for w, o in zip(words.tolist(), np.split(order, starts[1:]))}
-        parts.append(_block(terms, table, bags, average, k))
-    if not parts:
+    sends on the best k a bag and part. So no pair of query and chunk is shuffled that can't be in an answer."""
+    asked = bags(queries)
+    held = runtime.materialise(counted(chunks), "counted")
+    weighted = runtime.materialise(weights(asked, idf_of(held)).withColumn("bag_no", F.xxhash64("bag")).drop("bag"), "weights")
+    average = held.agg(F.avg("n")).first()[0]
+    blocks = -(-weighted.select("bag_no").distinct().count() // block)
+    every = None
+    for number in range(blocks):
+        rows = weighted.where(F.pmod(F.col("bag_no"), F.lit(blocks)) == number).toPandas()  # a block
+        if not len(rows):
+            continue
+        scored, shared = _block(held, rows, average, k)
+        part = runtime.materialise(top_k(scored, k, "bag_no"), "block")
+        shared.destroy()
+        every = part if every is None else every.unionByName(part)
+    runtime.drop(held)
+    runtime.drop(weighted)
+    if every is None:
         return queries.select("query_id", F.lit("").alias("chunk_id"), F.lit(0.0).alias("score"), F.lit(1).alias("rank")).limit(0)
-    every = parts[0]
-    for p in parts[1:]:
-        every = every.unionByName(p)
-    best = top_k(every, k, "bag_no")
-    return asked.withColumn("bag_no", F.xxhash64("bag")).drop("bag").join(best, "bag_no").select("query_id", "chunk_id", "score", "rank")
+    return asked.withColumn("bag_no", F.xxhash64("bag")).drop("bag").join(every, "bag_no").select("query_id", "chunk_id", "score", "rank")

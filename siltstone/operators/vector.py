@@ -1,9 +1,9 @@
-"""Nearest chunks by cosine: exact, and by random hyperplanes.
+"""Nearest chunks by cosine: exact, and by an index of cells.
 
 Exact search takes the queries in blocks of ``block``: one block's matrix (its size is ``block`` times the dimension,
 whatever the data) goes to all tasks, each multiplies it with its own vectors, batch by batch, and keeps the best k of
 its part, so the shuffle has k rows a query and task. More queries than a block make more passes over the
-vectors; ``hyperplanes`` is the way for those.
+vectors; ``in_cells`` is the way for those.
 
 Null vectors, vectors of another dimension than the query, and zero vectors have similarity 0 and take part
 as such, except null ones, which are left out. Ranks are by the similarity rounded to 9 places, then by id.
@@ -13,13 +13,18 @@ Repeated ids are ranked as often as they come. Empty tables give no rows.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from siltstone import runtime
+
 BLOCK = 4_096
 
 
@@ -53,71 +58,120 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, block: int = BLOC
     """(query_id, id, score, rank) for vectors (id, vector) and queries (query_id, vector), exact."""
     spark = vectors.sparkSession
     asked = queries.where(F.col("vector").isNotNull()).select("query_id", "vector")
-    parts = []
     total = asked.count()
     blocks = -(-total // block)
     numbered = asked.withColumn("_n", F.pmod(F.xxhash64("query_id"), F.lit(max(1, blocks))))
-    for at in range(blocks):
-        rows = numbered.where(F.col("_n") == at).select("query_id", "vector").collect()  # about ``block``
+    held = vectors.where(F.col("vector").isNotNull()).select(F.col("id").cast("bigint"), "vector")
+    every = None
+    for number in range(blocks):
+        rows = numbered.where(F.col("_n") == number).select("query_id", "vector").collect()  # about ``block``
         shared = spark.sparkContext.broadcast(([r[0] for r in rows], [list(r[1]) for r in rows]))
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            names, held = shared.value
-            dims = sorted({len(v) for v in held})
+            names, known = shared.value
+            dims = sorted({len(v) for v in known})
             for batch in batches:
                 ids = np.asarray(batch.column(0))
                 out: tuple[list, list, list] = ([], [], [])
                 for dim in dims:
-                    cols = [i for i, v in enumerate(held) if len(v) == dim]
-                    q = _matrix(pa.array([held[i] for i in cols], pa.list_(pa.float64())), dim)
+                    cols = [i for i, v in enumerate(known) if len(v) == dim]
+                    q = _matrix(pa.array([known[i] for i in cols], pa.list_(pa.float64())), dim)
                     similar = np.round(_matrix(batch.column(1), dim) @ q.T, 9)
-                    for i, at in zip(cols, _best(ids, similar, k)):
+                    for c, (i, at) in enumerate(zip(cols, _best(ids, similar, k))):
                         out[0].extend([names[i]] * len(at))
                         out[1].extend(ids[at].tolist())
-                        out[2].extend(similar[at, cols.index(i)].tolist())
+                        out[2].extend(similar[at, c].tolist())
                 yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.float64())], ["query_id", "id", "score"])
 
-        parts.append(vectors.where(F.col("vector").isNotNull()).select(F.col("id").cast("bigint"), "vector").mapInArrow(run, "query_id bigint, id bigint, score double"))
-    if not parts:
-        return spark.createDataFrame([], "query_id bigint, id bigint, score double, rank int")
-    every = parts[0]
-    for p in parts[1:]:
-        every = every.unionByName(p)
-    return every.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "id"))).where(F.col("rank") <= k)
+        best = ranked(held.mapInArrow(run, "query_id bigint, id bigint, score double"), k)
+        if blocks > 1:  # one block at a time is run, written and let go
+            best = runtime.materialise(best, "block")
+            shared.destroy()
+        every = best if every is None else every.unionByName(best)
+    return spark.createDataFrame([], "query_id bigint, id bigint, score double, rank int") if every is None else every
+
 
+def ranked(scored: DataFrame, k: int) -> DataFrame:
+    """The best ``k`` of each query, cut in each task before the shuffle."""
+    return scored.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "id"))).where(F.col("rank") <= k)
 
-def codes(vectors: DataFrame, id_col: str, tables: int, bits: int, seed: int = 11) -> DataFrame:
-    """(id_col, vector, buckets): for each table the side of ``bits`` random hyperplanes, in one bigint with
-    the table's number. The planes come from a seed: nothing is fitted."""
+
+@dataclass(frozen=True)
+class Cells:
+    """An index: unit centroids, and how many cells a query looks into."""
+
+    centroids: np.ndarray
+    probes: int
+
+
+def fit_cells(vectors: DataFrame, k: int = 10, sample: int = 20_000, cells: int = 256, target: float = 0.95, rounds: int = 12, seed: int = 11) -> Cells | None:
+    """Spherical k-means over a bounded ``sample`` of ``vectors`` (id, vector), chosen by a hash; ``cells`` at most, and no
+    more than the root of the sample. The number of probes isn't a guess: it is the least with which vectors of the sample
+    find ``target`` of their ``k`` nearest in the sample. Vectors that fall into groups need few; vectors without any order
+    need about half of all cells, as nothing tells where their nearest are. Of vectors of several dimensions the most
+    frequent one is indexed. None if there is no vector."""
+    rows = vectors.where(F.col("vector").isNotNull() & (F.size("vector") > 0)).orderBy(F.xxhash64("id"), "id").limit(sample).select("vector").collect()  # the bounded sample
+    if not rows:
+        return None
+    sizes, counts = np.unique([len(r[0]) for r in rows], return_counts=True)
+    held = _matrix(pa.array([r[0] for r in rows if len(r[0]) == sizes[counts.argmax()]], pa.list_(pa.float64())), int(sizes[counts.argmax()]))
+    rng, n = np.random.default_rng(seed), min(cells, max(1, int(len(held) ** 0.5)))
+    centre = held[rng.choice(len(held), n, replace=False)].copy()
+    for _ in range(rounds):
+        at = (held @ centre.T).argmax(1)
+        sums = np.zeros_like(centre)
+        np.add.at(sums, at, held)
+        norms = np.linalg.norm(sums, axis=1, keepdims=True)
+        centre = np.where(norms > 0, sums / np.where(norms > 0, norms, 1), centre)
+    at, asked = (held @ centre.T).argmax(1), held[rng.choice(len(held), min(200, len(held)), replace=False)]
+    near = np.argsort(-(asked @ held.T), axis=1)[:, :k]
+    place = np.argsort(np.argsort(-(asked @ centre.T), axis=1), axis=1)  # of each cell in the order of each query
+    needed = np.take_along_axis(place, at[near], axis=1).ravel() + 1
+    return Cells(centre, int(np.sort(needed)[min(len(needed) - 1, int(np.ceil(target * len(needed))) - 1)]))
+
+
+def _in_cells(rows: DataFrame, index: Cells, probes: int) -> DataFrame:
+    """``rows`` (id, vector) once for each of the ``probes`` nearest cells; those of another dimension drop out."""
+    dim = index.centroids.shape[1]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        planes: dict[int, np.ndarray] = {}
         for batch in batches:
-            column, n = batch.column(1), batch.num_rows
-            out = np.zeros((n, tables), np.int64)
-            sizes = np.asarray(column.value_lengths().fill_null(0))
-            for dim in np.unique(sizes[sizes > 0]):
-                p = planes.setdefault(int(dim), np.random.default_rng([seed, int(dim)]).normal(size=(int(dim), tables * bits)))
-                side = (_matrix(column, int(dim)) @ p > 0).reshape(n, tables, bits)
-                out[sizes == dim] = (side @ (1 << np.arange(bits)) + (np.arange(tables) << bits))[sizes == dim]
-            yield pa.RecordBatch.from_arrays([batch.column(0), column, pa.ListArray.from_arrays(np.arange(0, n * tables + 1, tables, dtype=np.int32), out.ravel())], batch.schema.names + ["buckets"])
-
-    kind = vectors.schema["vector"].dataType.simpleString()
-    return vectors.select(id_col, "vector").mapInArrow(run, f"`{id_col}` bigint, vector {kind}, buckets array<bigint>")
-
-
-def hyperplanes(vectors: DataFrame, queries: DataFrame, k: int = 10, tables: int = 40, bits: int = 5) -> DataFrame:
-    """Approximate ``top_k`` by a join on buckets: every vector is indexed, and a query sees those with which it shares
-    a bucket in at least one table. Both sides keep only the bucket numbers up to the join; the vectors meet at
-    the end, for distinct candidates."""
-    from siltstone.functions.text import cosine
-
-    have = codes(vectors.where(F.col("vector").isNotNull()).select(F.col("id").cast("bigint").alias("id"), "vector"), "id", tables, bits)
-    ask = codes(queries.where(F.col("vector").isNotNull()).select(F.col("query_id").cast("bigint").alias("query_id"), "vector"), "query_id", tables, bits)
-    near = have.select("id", F.explode("buckets").alias("bucket")).join(ask.select("query_id", F.explode("buckets").alias("bucket")), "bucket").select("query_id", "id").distinct()
-    met = near.join(vectors.select("id", "vector"), "id").join(queries.select("query_id", F.col("vector").alias("asked")), "query_id")
-    scored = met.select("query_id", "id", F.round(cosine(F.col("vector"), F.col("asked")), 9).alias("score"))
-    return scored.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "id"))).where(F.col("rank") <= k)
+            part = batch.filter(pa.compute.equal(pa.compute.list_value_length(batch.column(1)), dim))
+            order = np.argsort(-(_matrix(part.column(1), dim) @ index.centroids.T), axis=1, kind="stable")[:, :probes]
+            again = pa.array(np.repeat(np.arange(part.num_rows), order.shape[1]))
+            yield pa.RecordBatch.from_arrays([part.column(0).take(again), part.column(1).take(again), pa.array(order.ravel().astype(np.int32))], ["id", "vector", "cell"])
+
+    return rows.mapInArrow(run, f"id bigint, vector {rows.schema['vector'].dataType.simpleString()}, cell int")
+
+
+def in_cells(vectors: DataFrame, queries: DataFrame, k: int = 10, index: Cells | None = None, group: int = 20_000) -> DataFrame:
+    """Approximate ``top_k`` by an index of cells: every vector lies in its nearest cell, and a query meets the vectors of
+    its nearest ``probes`` cells. A cell is cut into parts of about ``group`` vectors and ``group`` queries, each pair of
+    parts is one matrix product, and only the best k of a part are sent on; so a cell with a third of all rows is many
+    tasks, and a vector is moved once for each part of queries of its cell."""
+    index = index or fit_cells(vectors, k)
+    if index is None:
+        return vectors.sparkSession.createDataFrame([], "query_id bigint, id bigint, score double, rank int")
+    have = _in_cells(vectors.where(F.col("vector").isNotNull()).select(F.col("id").cast("bigint").alias("id"), "vector"), index, 1)
+    ask = _in_cells(queries.where(F.col("vector").isNotNull()).select(F.col("query_id").cast("bigint").alias("id"), "vector"), index, index.probes)
+    have, ask = runtime.materialise(have, "cells"), runtime.materialise(ask, "probes")
+    parts = lambda df, name: df.groupBy("cell").agg(F.ceil(F.count("*") / group).cast("int").alias(name))
+    cut = F.broadcast(parts(have, "mine").join(parts(ask, "theirs"), "cell"))  # a row for each cell at most
+
+    def spread(df: DataFrame, own: str, other: str) -> DataFrame:
+        met = df.join(cut, "cell").withColumn(f"{own}_part", F.pmod(F.xxhash64("id"), F.col(own)).cast("int"))
+        return met.withColumn(f"{other}_part", F.explode(F.sequence(F.lit(0), F.col(other) - 1))).select("cell", "mine_part", "theirs_part", "id", "vector").groupBy("cell", "mine_part", "theirs_part")
+
+    def meet(mine: pd.DataFrame, theirs: pd.DataFrame) -> pd.DataFrame:
+        dim = index.centroids.shape[1]
+        x, q = (_matrix(pa.array(df["vector"].tolist(), pa.list_(pa.float64())), dim) for df in (mine, theirs))
+        ids, out = mine["id"].to_numpy(), []
+        for begin in range(0, len(q), 512):
+            similar = np.round(x @ q[begin : begin + 512].T, 9)
+            out += [(theirs["id"].iloc[begin + c], at, similar[at, c]) for c, at in enumerate(_best(ids, similar, k))]
+        return pd.DataFrame({"query_id": np.repeat([i for i, _, _ in out], [len(at) for _, at, _ in out]), "id": np.concatenate([ids[at] for _, at, _ in out]), "score": np.concatenate([s for _, _, s in out])}) if len(mine) and out else pd.DataFrame({"query_id": [], "id": [], "score": []})
+
+    return ranked(spread(have, "mine", "theirs").cogroup(spread(ask, "theirs", "mine")).applyInPandas(meet, "query_id bigint, id bigint, score double"), k)
 
 
 def recall(found: DataFrame, exact: DataFrame) -> DataFrame:

@@ -119,17 +119,17 @@ def vector_topk(spark: SparkSession, d: str) -> DataFrame:
     return vector.top_k(v, asked_vectors(spark, d), 10)
 
 
-def lsh_topk(spark: SparkSession, d: str) -> DataFrame:
+def cells_topk(spark: SparkSession, d: str) -> DataFrame:
     v = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
-    return vector.hyperplanes(v, asked_vectors(spark, d), 10)
+    return vector.in_cells(v, asked_vectors(spark, d), 10)
 
 
-def lsh_recall(spark: SparkSession, d: str) -> DataFrame:
-    return vector.recall(lsh_topk(spark, d), vector_topk(spark, d))
+def cells_recall(spark: SparkSession, d: str) -> DataFrame:
+    return vector.recall(cells_topk(spark, d), vector_topk(spark, d))
 
 
-def lsh_recalls_enough(spark: SparkSession, d: str) -> DataFrame:
-    return lsh_recall(spark, d).select((F.col("recall") >= 0.9).alias("enough"))
+def cells_recall_enough(spark: SparkSession, d: str) -> DataFrame:
+    return cells_recall(spark, d).select((F.col("recall") >= 0.9).alias("enough"))
 
 
 def hybrid_queries(spark: SparkSession, d: str) -> DataFrame:
@@ -459,7 +459,7 @@ LISTED = """with first as (select chunk_id, arg_min(struct_pack(i := chunk_index
 listed as (select arg_min(r, (r.i, chunk_id)) as r, count(*) as chunks, max(r.last_updated) as last_updated from first group by r.source_repo, r.file_path) """
 HITS = "(select distinct on (hit_id) * from search_hits)"
 DISPLAY = "case when length(t) <= 260 then t else rtrim(left(t, 259)) || '...' end"
-DECIDED = f"""with recursive q as (select id as query_id, ts as t, case when id % 5 = 0 then '10.0.0.' else '8.8.4.' end || (id % 7) as caller, id % 3 = 0 and id % 5 = 0 as exempt, query, cast(id % 13 as integer) as top_k from {LOG} where ts is not null),
+DECIDED = f"""with recursive q as (select id as query_id, ts as t, case when id % 5 = 0 then '10.0.0.' else '8.8.4.' end || (id % 7) as caller, id % 3 = 0 and id % 5 = 0 as exempt, query, cast(id % 13 as integer) as top_k from {LOG} where ts is not null and {{which}}),
 s as (select query_id, caller, t, row_number() over (partition by caller order by t, query_id) as i from q where not exempt),
 f as (select s.*, true as accepted, [t] as held from s where i = 1 union all
 select s.query_id, s.caller, s.t, s.i, len(list_filter(f.held, lambda x: s.t - x <= 3600)) < {{limit}},
@@ -472,9 +472,9 @@ decided as (select q.query_id, q.t, q.query, case when not coalesce(f.accepted,
 
 def queries() -> dict[str, Query]:
     names = """tokenize_terms word_window_chunks chunk_router chunk_documents adr_records html_to_text display_excerpt prompt_excerpt corpus_stats bm25_idf bm25_topk lexical_degraded
-    vector_topk lsh_topk lsh_recall hybrid_topk search_hits_hydrated rrf_fuse compare_vector_hybrid fallback_answer answer_sources converge_stale converge_prune converge_stats converge_store
+    vector_topk cells_topk cells_recall hybrid_topk search_hits_hydrated rrf_fuse compare_vector_hybrid fallback_answer answer_sources converge_stale converge_prune converge_stats converge_store
     dedup_last_wins dedup_first_wins index_listing index_totals guard_refusals request_validation rate_limit query_stats top_terms window_summary hourly_log hourly_windows summary_payload hourly_summary_stream rate_limit_stream p3_found p3_runs
-    lsh_recalls_enough comparison_report embed_texts request_decisions service_search service_log ask_answers ingest_pass"""
+    cells_recall_enough comparison_report embed_texts request_decisions service_search service_log ask_answers ingest_pass"""
     return {n: globals()[n] for n in names.split()}
 
 
@@ -500,12 +500,15 @@ def oracle_sql() -> dict[str, str]:
         "search_hits_hydrated": HYBRID + """, hits as (select query_id, rank, round(coalesce(list_cosine_similarity(c.embedding::double[], hq.vector::double[]), 0.0), 4) as score, chunk_id, false as degraded from top join hq using (query_id) join """ + CHUNKS + """ c using (chunk_id) where rank <= 5
           union all select query_id, rank, 0.0 as score, chunk_id, true from ranked where rank <= 5 and query_id not in (select query_id from hq))
           select query_id, cast(rank as integer) as rank, score, chunk_id, coalesce(d.text, '') as text, d.source as source_repo, d.file_path, coalesce(d.doc_type, '') as doc_type, coalesce(d.last_updated, '') as last_updated, 0 as chunk_index, degraded from hits join documents d on sha1(d.source || ':' || d.file_path || ':0') = chunk_id""",
-        "lsh_recalls_enough": "select true as enough",
+        "cells_recall_enough": "select true as enough",
         "embed_texts": f"""with t as (select query, unnest({TOKENS.replace('text', 'query')}) as term from (select distinct query from queries where query is not null)),
           h as (select query, cast('0x' || left(md5(term), 6) as integer) % 32 as place, case when cast('0x' || substring(md5(term), 7, 1) as integer) % 2 = 1 then 1 else -1 end as sign from t),
           v as (select query, place, sum(sign)::double as n from h group by all)
           select query, cast(place as integer) as place, round(n / sqrt(sum(n * n) over (partition by query)), 9) as value from v qualify n <> 0""",
-        "request_decisions": DECIDED.replace("{limit}", "6") + "select query_id, decision, k, exempt from decided",
+        "request_decisions": DECIDED.replace("{limit}", "6").replace("{which}", "true") + "select query_id, decision, k, exempt from decided",
+        "service_log": DECIDED.replace("{limit}", "60").replace("{which}", "id % 20 = 0") + ", " + BM25.strip().removeprefix("with ") + """select d.query_id as id, d.t as ts, left(d.query, 500) as query, cast(count(r.chunk_id) as integer) as result_count
+          from decided d left join ranked r on r.query_id = d.query_id and r.rank <= d.k and d.decision = 'answered' where not d.exempt and d.decision in ('answered', 'refused') group by all""",
+        "adr_records": ADR_SQL,
         "p3_runs": P3_SQL,
         "hourly_windows": f"select w.s as window_start, count(q.id) as queries from (select unnest(range({SINCE - SINCE % 3600}, {UNTIL - UNTIL % 3600}, 3600)) as s) w left join {LOG} q on cast(floor(q.ts / 3600) * 3600 as bigint) = w.s group by 1",
         "summary_payload": _terms_sql() + f"""select 'siltstone' as source, strftime(make_timestamp({SINCE}::bigint * 1000000), '%Y-%m-%dT%H:%M:%SZ') as window_start, strftime(make_timestamp({UNTIL}::bigint * 1000000), '%Y-%m-%dT%H:%M:%SZ') as window_end,
@@ -543,6 +546,22 @@ def oracle_sql() -> dict[str, str]:
     }
 
 
+def _front(name: str) -> str:
+    return f"""nullif(regexp_extract(front, '(?m)^[ \\t]*{name}[ \\t]*=[ \\t]*"?([^"\\n#]*?)"?[ \\t]*(?:#[^\\n]*)?$', 1), '')"""
+
+
+# Decision records by regular expressions instead of a parser of their header: what the first failing field is, or all fields.
+ADR_SQL = rf"""
+with d as (select source as source_repo, file_path, regexp_extract(coalesce(text, ''), '(?s)^\+\+\+[ \t]*\n(.*?)\n?\+\+\+[ \t]*(?:\n|$)(.*)$', ['front', 'body']) as m from documents where doc_type = 'adr'),
+f as (select *, {_front('id')} as adr_id, {_front('status')} as status, {_front('date')} as date, {_front('supersedes')} as supersedes, {_front('slug')} as slug from (select source_repo, file_path, m.front as front, m.body as body from d)),
+e as (select *, case when front is null or front = '' then 'frontmatter' when adr_id is null or not regexp_full_match(adr_id, 'ADR-[0-9]{{4}}') then 'id' when status is null or status not in ('accepted', 'proposed', 'superseded') then 'status'
+  when date is null or not regexp_full_match(date, '[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}') or try_cast(date as date) is null then 'date' when supersedes is not null and (not regexp_full_match(supersedes, 'ADR-[0-9]{{4}}') or supersedes = adr_id) then 'supersedes'
+  when slug is not null and not regexp_full_match(slug, '[a-z0-9]+(-[a-z0-9]+)*') then 'slug' when trim(body, chr(10) || ' ') = '' then 'body' end as error from f)
+select source_repo, file_path, case when error is null then adr_id end as adr_id, case when error is null then status end as status, case when error is null then date end as date,
+  case when error is null then supersedes end as supersedes, case when error is null then slug end as slug, error from e
+"""
+
+
 def _quoted(text: str) -> str:
     return text.replace("'", "''")
 

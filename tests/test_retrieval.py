@@ -82,7 +82,13 @@ def test_exact_and_hashed_neighbours(spark):
         s = unit @ unit[i]
         want = sorted(range(400), key=lambda j: (-round(s[j], 5), j))[:5]
         assert {r.id for r in got if r.query_id == i} == set(want)
-    near = vector.hyperplanes(df, q, 5, tables=48, bits=4)
+    for group in (20_000, 30):  # whole cells, and cells in many parts
+        near = vector.in_cells(df, q, 5, group=group)
+        assert vector.recall(near, vector.top_k(df, q, 5)).first()[0] >= 0.9
+    grouped = np.repeat(rng.normal(size=(10, 16)) * 6, 40, axis=0) + v[:400]
+    index = vector.fit_cells(spark.createDataFrame([(i, [float(x) for x in r]) for i, r in enumerate(grouped)], "id long, vector array<float>"), 5)
+    assert index.probes < len(index.centroids) / 2  # what falls into groups is found in few cells
+    assert vector.in_cells(df.limit(0), q, 5).count() == 0 and vector.in_cells(df, q.limit(0), 5).count() == 0
     assert vector.recall(near, vector.top_k(df, q, 5)).first()[0] >= 0.9
     assert vector.top_k(df.limit(0), q, 5).count() == 0 and vector.top_k(df, q.limit(0), 5).count() == 0
 
