@@ -552,9 +552,9 @@ def _front(name: str) -> str:
 
 # Decision records by regular expressions instead of a parser of their header: what the first failing field is, or all fields.
 ADR_SQL = rf"""
-with d as (select source as source_repo, file_path, regexp_extract(coalesce(text, ''), '(?s)^\+\+\+[ \t]*\n(.*?)\n?\+\+\+[ \t]*(?:\n|$)(.*)$', ['front', 'body']) as m from documents where doc_type = 'adr'),
+with d as (select source as source_repo, file_path, regexp_extract(replace(replace(coalesce(text, ''), chr(13) || chr(10), chr(10)), chr(13), chr(10)), '(?s)^\+\+\+[ \t]*\n(.*?)\n?\+\+\+[ \t]*(?:\n|$)(.*)$', ['front', 'body']) as m from documents where doc_type = 'adr'),
 f as (select *, {_front('id')} as adr_id, {_front('status')} as status, {_front('date')} as date, {_front('supersedes')} as supersedes, {_front('slug')} as slug from (select source_repo, file_path, m.front as front, m.body as body from d)),
-e as (select *, case when front is null or front = '' then 'frontmatter' when adr_id is null or not regexp_full_match(adr_id, 'ADR-[0-9]{{4}}') then 'id' when status is null or status not in ('accepted', 'proposed', 'superseded') then 'status'
+e as (select *, case when front is null or front = '' or len(list_filter(string_split(front, chr(10)), lambda l: trim(l) <> '' and not regexp_matches(l, '^[ \t]*([A-Za-z_-]+[ \t]*=[ \t]*[!-~]|#)'))) > 0 then 'frontmatter' when adr_id is null or not regexp_full_match(adr_id, 'ADR-[0-9]{{4}}') then 'id' when status is null or status not in ('accepted', 'proposed', 'superseded') then 'status'
   when date is null or not regexp_full_match(date, '[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}') or try_cast(date as date) is null then 'date' when supersedes is not null and (not regexp_full_match(supersedes, 'ADR-[0-9]{{4}}') or supersedes = adr_id) then 'supersedes'
   when slug is not null and not regexp_full_match(slug, '[a-z0-9]+(-[a-z0-9]+)*') then 'slug' when trim(body, chr(10) || ' ') = '' then 'body' end as error from f)
 select source_repo, file_path, case when error is null then adr_id end as adr_id, case when error is null then status end as status, case when error is null then date end as date,
