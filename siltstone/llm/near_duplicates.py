@@ -115,6 +115,16 @@ def minima(shingles: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return (least >> np.uint64(32)).astype(np.uint32)
 
 
+def band_keys(minima: np.ndarray) -> np.ndarray:
+    """A 64-bit key for each text and band of (texts, bands, rows) minima, another for equal minima in another band."""
+    h = np.arange(1, minima.shape[1] + 1, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93)
+    for row in range(minima.shape[2]):
+        h = (h ^ minima[:, :, row].astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
+        h ^= h >> np.uint64(29)
+    h *= np.uint64(0xBF58476D1CE4E5B9)
+    return (h ^ h >> np.uint64(32)).view(np.int64)
+
+
 def signatures(texts: DataFrame, s: Settings) -> DataFrame:
     """(id, cls, keys, bits): keys and the minima's lowest bytes are null where this task has sent those of the class
     before. ``texts`` has the columns id and text."""
@@ -125,7 +135,7 @@ def signatures(texts: DataFrame, s: Settings) -> DataFrame:
         b = rng.integers(0, 1 << 63, (s.bands * s.rows, 1), dtype=np.uint64)
         shingler, seen = Shingler(s.shingle), set()
         for batch in batches:
-            ids, classes, keys, bits = [], [], [], []
+            ids, classes, fresh, minimal = [], [], [], []
             for i, text in zip(batch.column(0).to_pylist(), batch.column(1)):
                 shingles = shingler(text.as_py(), s.min_words)
                 if shingles is None:
@@ -133,17 +143,16 @@ def signatures(texts: DataFrame, s: Settings) -> DataFrame:
                 cls = xxhash.xxh64_intdigest(shingles.tobytes()) - (1 << 63)
                 ids.append(i)
                 classes.append(cls)
-                if cls in seen:
-                    keys.append(None)
-                    bits.append(None)
-                    continue
-                if len(seen) >= SEEN:
-                    seen.clear()
-                seen.add(cls)
-                sig = minima(shingles, a, b).reshape(s.bands, s.rows)
-                keys.append([xxhash.xxh64_intdigest(sig[k].tobytes(), k) - (1 << 63) for k in range(s.bands)])
-                bits.append(sig.astype(np.uint8).tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(classes, pa.int64()), pa.array(keys, pa.list_(pa.int64())), pa.array(bits, pa.binary())], ["id", "cls", "keys", "bits"])
+                fresh.append(cls not in seen)
+                if fresh[-1]:
+                    if len(seen) >= SEEN:
+                        seen.clear()
+                    seen.add(cls)
+                    minimal.append(minima(shingles, a, b))
+            sig = np.array(minimal, dtype=np.uint32).reshape(-1, s.bands, s.rows)
+            keys, low = iter(band_keys(sig)), iter(sig.astype(np.uint8))
+            lists, bits = [next(keys) if f else None for f in fresh], [next(low).tobytes() if f else None for f in fresh]
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(classes, pa.int64()), pa.array(lists, pa.list_(pa.int64())), pa.array(bits, pa.binary())], ["id", "cls", "keys", "bits"])
 
     held = texts.select("id", "text").where(F.col("id").isNotNull() & F.col("text").isNotNull())
     return runtime.spread(held).mapInArrow(run, "id bigint, cls bigint, keys array<bigint>, bits binary")
