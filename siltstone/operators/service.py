@@ -17,6 +17,7 @@ Null queries and callers are ordinary: a null query is invalid, a null caller is
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -96,7 +97,9 @@ class Searched:
 
 def search(requests: DataFrame, chunks: DataFrame, embedder: embedding.Embedder | None, s: Settings = Settings(), guard_first: bool = False) -> Searched:
     """``chunks``: as stored, with vec_id and embedding. Without an embedder, or if it is unavailable, answers come from
-    keywords alone and say so."""
+    keywords alone and say so. What the log gives as ``took_ms`` is the time of the whole batch, in which all were answered
+    together."""
+    began = time.monotonic()
     decisions = runtime.materialise(decided(requests, s, guard_first), "decisions")
     queries = decisions.where(F.col("decision") == "answered").select("query_id", "query", "k")
     degraded = embedder is None
@@ -111,10 +114,19 @@ def search(requests: DataFrame, chunks: DataFrame, embedder: embedding.Embedder
     hits = runtime.materialise(fusion.hydrate(ranked(chunks, asked), chunks), "hits")
     counts = hits.groupBy("query_id").agg(F.count("*").cast("int").alias("result_count"))
     logged = decisions.where(~F.col("exempt") & F.col("decision").isin("answered", "refused"))
-    log = logged.join(counts, "query_id", "left").select(F.col("query_id").alias("id"), F.col("t").cast("bigint").alias("ts"), querylog.entry(F.col("query")).alias("query"), F.coalesce("result_count", F.lit(0)).alias("result_count"))
+    log = logged.join(counts, "query_id", "left").select(F.col("query_id").alias("id"), F.col("t").cast("bigint").alias("ts"), querylog.entry(F.col("query")).alias("query"), F.coalesce("result_count", F.lit(0)).alias("result_count"), F.lit(int((time.monotonic() - began) * 1_000)).alias("took_ms"))
     return Searched(decisions, hits, log)
 
 
+def responses(found: Searched) -> DataFrame:
+    """(query_id, decision, body): the JSON of each request's response, its hits in order; none for one without any."""
+    shown = F.struct("text", "source_repo", "file_path", "doc_type", "last_updated", "chunk_index", "score")
+    per = found.hits.groupBy("query_id").agg(F.sort_array(F.collect_list(F.struct("rank", shown.alias("hit")))).alias("h"), F.max("degraded").alias("degraded"))  # at most k a request
+    met = found.decisions.select("query_id", "decision", "query").join(per, "query_id", "left")
+    hits = F.coalesce(F.col("h.hit"), F.array().cast(met.select("h.hit").schema[0].dataType))
+    return met.select("query_id", "decision", F.to_json(F.struct("query", hits.alias("hits"), F.coalesce("degraded", F.lit(False)).alias("degraded"))).alias("body"))
+
+
 # -- answers ----------------------------------------------------------------------------------
 Answerer = Callable[[str], str]
 LATE, GONE = "late", "gone"
@@ -174,6 +186,18 @@ def ask(requests: DataFrame, chunks: DataFrame, embedder: embedding.Embedder | N
     return out.select("query_id", "decision", F.coalesce("refusal", "answer").alias("answer"), F.coalesce("n_sources", F.lit(0)).alias("n_sources"), F.coalesce("degraded", F.lit(False)).alias("degraded"))
 
 
+def compare(spark: SparkSession, store: str, texts: list[str], embedder: embedding.Embedder, best: int = 3) -> DataFrame:
+    """``report`` for given query texts over the current snapshot of a store (chunks with vectors)."""
+    chunks = convergence.current(spark, store)
+    if chunks is None:
+        raise ValueError(f"{store} has no snapshot")
+    chunks = chunks.withColumn("vec_id", F.xxhash64("chunk_id"))
+    vectors = [list(map(float, v)) for v in embedder(texts)]
+    queries = spark.createDataFrame([(i, t, v) for i, (t, v) in enumerate(zip(texts, vectors))], "query_id long, query string, vector array<double>")
+    near = vector.top_k(chunks.select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector")), queries, best).join(chunks.select("chunk_id", F.col("vec_id").alias("id")), "id")
+    return report(near, fusion.hybrid_ids(chunks, queries, best), chunks, queries, best)
+
+
 def report(vector_ids: DataFrame, hybrid: DataFrame, chunks: DataFrame, queries: DataFrame, best: int = 3) -> DataFrame:
     """(query_id, report): a Markdown table of both rankings side by side, a query each."""
     line = F.format_string("`%s` (%.3f) %s", F.regexp_replace(F.concat_ws("/", "source_repo", "file_path"), "^/+|/+$", ""), F.col("score"), F.substring(tx.squeeze(F.col("text")), 1, 70))

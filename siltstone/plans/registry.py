@@ -203,7 +203,7 @@ def service_search(spark: SparkSession, d: str) -> DataFrame:
 
 def service_log(spark: SparkSession, d: str) -> DataFrame:
     """What the search path logs."""
-    return service.search(*_asking(spark, d), None).log
+    return service.search(*_asking(spark, d), None).log.drop("took_ms")
 
 
 def ask_answers(spark: SparkSession, d: str) -> DataFrame:

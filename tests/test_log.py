@@ -1,5 +1,6 @@
 from collections import deque
 
+import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -33,6 +34,9 @@ def test_guard(spark):
     assert [r[0] for r in ips.select(admission.is_local_address("a")).collect()] == [True, True, False, False, False]
     marked = spark.createDataFrame([("127.0.0.1", True), ("127.0.0.1", None), ("8.8.8.8", True)], "a string, m boolean")
     assert [r[0] for r in marked.select(admission.is_internal(F.col("a"), F.col("m"))).collect()] == [True, False, False]
+    assert [r[0] for r in spark.createDataFrame([("s",), ("t",), (None,)], "g string").select(admission.authorised(F.col("g"), "s")).collect()] == [True, False, False]
+    with pytest.raises(ValueError):
+        admission.authorised(F.col("g"), "")
     both = spark.createDataFrame([("x", "y"), ("", "y"), (None, ""), (None, "z")], "q string, query string")
     assert [r[0] for r in both.select(admission.asked_text(F.col("q"), F.col("query"))).collect()] == ["x", "y", None, "z"]
 

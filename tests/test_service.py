@@ -1,3 +1,5 @@
+import json
+
 import pytest
 
 from siltstone.operators import answers, convergence, embedding, service
@@ -64,6 +66,8 @@ def test_search(spark, chunks):
     hits = [(r.query_id, r["rank"], r.chunk_id) for r in got.hits.orderBy("query_id", "rank").collect()]
     assert [h for h in hits if h[0] == 1] == [(1, 1, "c1")] and {h[2] for h in hits if h[0] == 2} == {"c1", "c2", "c3"} and not any(h[0] == 3 for h in hits)
     assert {(r.id, r.result_count) for r in got.log.collect()} == {(1, 1), (2, 3), (3, 0)}
+    bodies = {r.query_id: json.loads(r.body) for r in service.responses(got).collect()}
+    assert [h["file_path"] for h in bodies[1]["hits"]] == ["c1.md"] and bodies[3] == {"query": "my password", "hits": [], "degraded": False} and len(bodies[2]["hits"]) == 3
     for embedder in (None, down):
         worse = service.search(requests(spark, rows), chunks, embedder)
         assert {(r.query_id, r.chunk_id, r.score, r.degraded) for r in worse.hits.collect()} == {(1, "c1", 0.0, True), (2, "c1", 0.0, True), (2, "c3", 0.0, True), (4, "c2", 0.0, True)}
@@ -93,6 +97,11 @@ def test_ingest(spark, tmp_path):
     with pytest.raises(Exception, match="vectors for"):
         service.ingest(spark, docs, store, "v4", "t4", short)
     assert {r.text for r in convergence.current(spark, store).collect()} == {"new"}
+    service.ingest(spark, docs, store, "v5", "t5", E)
+    said = [r.report for r in service.compare(spark, store, ["alpha one", "beta"], E).orderBy("query_id").collect()]
+    assert said[0].startswith("## alpha one\n\n| # | vector | hybrid |") and said[1].count("\n| ") == 4 and "| 1 | `r/a.md`" in said[1]
+    with pytest.raises(ValueError):
+        service.compare(spark, str(tmp_path / "none"), ["x"], E)
 
 
 def test_settings(monkeypatch):
