@@ -235,7 +235,7 @@ def test_no_labeler_changes_sides():
     for scale in (1, 10, 1_000):
         for decoys in (0.1, 1, 30):
             counts = {(1, 1, 1, 0): 834 * scale, (0, 1, 1, 0): 364 * scale, (0, 1, 0, -1): int(258 * decoys * scale), (1, 1, 0, 0): 86 * scale, (0, 1, 0, 0): 38 * scale}
-            got = personal.reliabilities(counts, personal.LABELERS["address"])
+            got = personal.reliabilities(counts, personal.LABELERS["phone"])
             assert got[0, 1, 0, -1] < 0.4 and got[1, 1, 1, 0] > 0.9 and got[1, 1, 0, 0] > 0.8, (scale, decoys, got)
 
 
