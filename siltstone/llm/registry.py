@@ -33,6 +33,29 @@ def p1_groups_strict(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nd.groups(table(spark, sf_dir, "search_hits"), "hit_id", "text").withColumnRenamed("id", "hit_id")
 
 
+# Every pair by the shingles that both have, without signatures; fast enough at the scale of the SQL check.
+def _pairs_sql(words: int, threshold: float) -> str:
+    shingle = " || ' ' || ".join(f"w[i + {k}]" for k in range(words))
+    return rf"""
+words as (select hit_id, regexp_extract_all(lower(text), '[\pL\pN]+') as w from (select distinct hit_id, text from search_hits where hit_id is not null and text is not null)),
+shingles as (select hit_id, unnest(list_distinct(list_transform(range(1, len(w) - {words - 2}), lambda i: {shingle}))) as s from words where len(w) >= 12),
+sizes as (select hit_id, count(*) as n from shingles group by 1),
+met as (select a.hit_id as hit_id_a, b.hit_id as hit_id_b, count(*) as c from shingles a join shingles b on a.s = b.s and a.hit_id < b.hit_id group by 1, 2),
+pairs as (select hit_id_a, hit_id_b from met join sizes x on x.hit_id = hit_id_a join sizes y on y.hit_id = hit_id_b where c >= {threshold} * (x.n + y.n - c) - 1e-9)"""
+
+
+def _groups_sql(words: int, threshold: float) -> str:
+    return f"""
+with recursive {_pairs_sql(words, threshold)},
+sets as (select hit_id, min(hit_id) over (partition by s) as rep from (select hit_id, list_sort(list(s)) as s from shingles group by 1)),
+links as (select a.rep as a, b.rep as b from pairs join sets a on a.hit_id = hit_id_a join sets b on b.hit_id = hit_id_b where a.rep <> b.rep group by all),
+degree as (select rep, count(*) as links from (select distinct rep, other from (select a as rep, b as other from links union all select b, a from links)) group by 1),
+both_ways as (select hit_id_a as a, hit_id_b as b from pairs union all select hit_id_b, hit_id_a from pairs),
+reach as (select a, b from both_ways union select r.a, e.b from reach r join both_ways e on r.b = e.a)
+select h.hit_id, coalesce(s.rep, h.hit_id) as rep, least(h.hit_id, coalesce(g.least, h.hit_id)) as group_id, coalesce(d.links, 0) as links
+from (select distinct hit_id from search_hits where hit_id is not null) h left join sets s using (hit_id) left join (select a as hit_id, min(b) as least from reach group by 1) g using (hit_id) left join degree d on d.rep = coalesce(s.rep, h.hit_id)"""
+
+
 def p2_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return term_counts.term_frequencies(table(spark, sf_dir, "queries"), "id", "query")
 
@@ -174,6 +197,9 @@ def queries() -> dict[str, Query]:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "p1_found": f"with {_pairs_sql(3, 0.5)} select hit_id_a, hit_id_b from pairs",
+        "p1_groups": _groups_sql(3, 0.5),
+        "p1_groups_strict": _groups_sql(5, 0.8),
         "p2_found": f"select term, mark from ({P2_SQL}) where mark is not null",
         "p2_terms": P2_SQL,
         "p6_found": f"select query_id, chunk_id from ({P6_SQL}) where position = 1",
