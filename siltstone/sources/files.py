@@ -1,7 +1,7 @@
 """Documents from landed files: whole files, site pages, pinned files, and a folder of decision records.
 
 The network stays outside: a landing job puts files below a folder, one folder a repository. A source that failed
-is told apart from an empty one by raising; ``converge`` then never sees half a source.
+is told apart from an empty one by raising; an ingest pass then never sees half a source.
 """
 
 from __future__ import annotations
