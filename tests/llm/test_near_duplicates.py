@@ -5,7 +5,7 @@ import pytest
 
 from siltstone.llm import near_duplicates as nd
 
-S = nd.Settings(shingle=3, threshold=0.5, min_words=12, bands=40, rows=3)
+S = nd.Settings(shingle=3, threshold=0.5, min_words=12, bands=40, rows=3, min_shared=2)
 
 
 def brute(rows, s):
@@ -44,7 +44,7 @@ def test_pairs_against_brute_force(spark):
 
 def test_hot_buckets_take_the_exact_way(spark):
     rows = corpus(5, 12)
-    tight = nd.Settings(shingle=3, threshold=0.5, min_words=12, bands=40, rows=3, bucket_cap=1)
+    tight = nd.Settings(shingle=3, threshold=0.5, min_words=12, bands=40, rows=3, min_shared=2, bucket_cap=1)
     assert found(spark, rows, tight) == brute(rows, tight)
 
 
@@ -53,7 +53,7 @@ def test_any_number_of_partitions_gives_the_same(spark):
     rows = corpus(7, 8) + [(5000 + k, corpus(7, 8)[2][1]) for k in range(40)]
     df = spark.createDataFrame([r for r in rows if r[0] is not None], "id long, text string")
     for cap in (2, 3, 64):
-        s = nd.Settings(shingle=3, threshold=0.5, min_words=12, bands=40, rows=3, bucket_cap=cap, salts=3)
+        s = nd.Settings(shingle=3, threshold=0.5, min_words=12, bands=40, rows=3, min_shared=2, bucket_cap=cap, salts=3)
         for n in (1, 7):
             got = {tuple(r) for r in nd.all_pairs(nd.near_duplicates(df.repartition(n), "id", "text", s)).collect()}
             assert got == brute(rows, S), (cap, n)
