@@ -10,9 +10,11 @@ The stages, and what bounds each of them:
 * ``classes`` makes them one row per class, with its least id. All that follows counts classes, so it doesn't depend on
   how rows lie over tasks.
 * ``candidates`` shuffles (key, class) once by key; each task sends on at most ``bucket_cap`` + 1 classes of a key. A
-  bucket of up to ``bucket_cap`` classes gives its pairs; the classes of larger buckets, fetched over salts, take the
-  exact way of ``prefix_pairs``, which loses no pair: the cap chooses the way, it drops nothing. So a class is in at
-  most bands * bucket_cap pairs of the first way.
+  bucket of up to ``bucket_cap`` classes gives its pairs. The classes of larger buckets, fetched over salts, are put
+  into buckets of two keys, the crowded one and any other of theirs, where two shared keys are asked for: a phrase that
+  much of a large table has crowds one key, seldom two. The classes of those that are still over the cap (or of all, where
+  one shared key is enough) take the exact way of ``prefix_pairs``, which loses no pair: the cap chooses the way, it drops
+  nothing. So a class is in at most bands * bucket_cap pairs of the first way.
 * signature verification: a pair stays if at least ``min_shared`` of its band keys agree, and as many minima (by their
   lowest byte) as a pair at the threshold has with all but ``slack`` standard deviations.
 * ``verified`` looks at the texts themselves of the pairs that are left, one shuffle of the
@@ -215,19 +217,48 @@ def classes(signed: DataFrame) -> DataFrame:
     return signed.groupBy("cls").agg(F.min("id").alias("rep"), F.first("keys", ignorenulls=True).alias("keys"), F.first("bits", ignorenulls=True).alias("bits"))
 
 
-def candidates(held: DataFrame, s: Settings) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(cls_a, cls_b) that share enough band keys, from buckets up to the cap; the (cls) of larger ones; and the table of
-    buckets that both read."""
-    keyed = held.select("cls", F.explode("keys").alias("key"))
+def crowds(keyed: DataFrame, cap: int) -> DataFrame:
+    """(key, c): the keys of ``keyed`` (cls, key) that several classes have, with at most ``cap`` + 1 of these in order."""
     place = F.row_number().over(W.partitionBy("key").orderBy("cls"))
-    few = keyed.withColumn("place", place).where(F.col("place") <= s.bucket_cap + 1)  # cut in each task, before the shuffle
-    buckets = runtime.materialise(few.groupBy("key").agg(F.sort_array(F.collect_list("cls")).alias("c")).where(F.size("c") > 1), "buckets")
+    few = keyed.withColumn("place", place).where(F.col("place") <= cap + 1)  # cut in each task, before the shuffle
+    return few.groupBy("key").agg(F.sort_array(F.collect_list("cls")).alias("c")).where(F.size("c") > 1)
+
+
+def pairs_in(buckets: DataFrame, s: Settings) -> DataFrame:
+    """(cls_a, cls_b, shared): the pairs of the buckets up to the cap, and how many of these both are in."""
     ahead = buckets.where(F.size("c") <= s.bucket_cap).select("c", F.posexplode("c").alias("at", "cls_a"))
-    agree = ahead.select("cls_a", F.explode(F.expr("slice(c, at + 2, size(c))")).alias("cls_b")).groupBy("cls_a", "cls_b").agg(F.count("*").alias("shared"))
+    return ahead.select("cls_a", F.explode(F.expr("slice(c, at + 2, size(c))")).alias("cls_b")).groupBy("cls_a", "cls_b").agg(F.count("*").alias("shared"))
+
+
+def crowded(keyed: DataFrame, buckets: DataFrame, s: Settings) -> DataFrame:
+    """(cls, key) of the buckets over the cap, all their classes."""
     hot = buckets.where(F.size("c") > s.bucket_cap).select("key", F.explode(F.sequence(F.lit(0), F.lit(s.salts - 1))).alias("salt"))
-    large = keyed.withColumn("salt", F.pmod(F.xxhash64("cls"), F.lit(s.salts)).cast("int")).join(hot, ["key", "salt"], "left_semi").select("cls").distinct()
-    likely = agree.where(F.col("shared") >= s.min_shared).select("cls_a", "cls_b")
-    return likely, held.select("cls").limit(0) if buckets.where(F.size("c") > s.bucket_cap).isEmpty() else large, buckets
+    return keyed.withColumn("salt", F.pmod(F.xxhash64("cls"), F.lit(s.salts)).cast("int")).join(hot, ["key", "salt"], "left_semi").select("cls", "key")
+
+
+def twofold(hot: DataFrame, held: DataFrame) -> DataFrame:
+    """(cls, key), a key for each two band keys of a class of which at least one is among ``hot`` (cls, key)."""
+    mine = hot.groupBy("cls").agg(F.collect_set("key").alias("hot")).join(held.select("cls", "keys"), "cls")
+    two = F.transform("hot", lambda h: F.transform(F.filter("keys", lambda k: k != h), lambda k: F.xxhash64(F.least(h, k), F.greatest(h, k))))
+    return mine.select("cls", F.explode(F.array_distinct(F.flatten(two))).alias("key"))
+
+
+def candidates(held: DataFrame, s: Settings) -> tuple[DataFrame, DataFrame]:
+    """(cls_a, cls_b) that share enough band keys, and the (cls) of buckets that take the exact way."""
+    keyed = held.select("cls", F.explode("keys").alias("key"))
+    buckets = runtime.materialise(crowds(keyed, s.bucket_cap), "buckets")
+    likely = runtime.materialise(pairs_in(buckets, s).where(F.col("shared") >= s.min_shared).select("cls_a", "cls_b"), "likely")
+    hot = runtime.materialise(crowded(keyed, buckets, s), "hot")
+    runtime.drop(buckets)
+    if s.min_shared > 1 and not hot.isEmpty():
+        keyed = runtime.materialise(twofold(hot, held), "twofold")
+        buckets = runtime.materialise(crowds(keyed, s.bucket_cap), "buckets")
+        cold, likely = likely, runtime.materialise(likely.unionByName(pairs_in(buckets, s).select("cls_a", "cls_b")).distinct(), "likely")
+        runtime.drop(hot)
+        hot = runtime.materialise(crowded(keyed, buckets, s), "hot")
+        for done in (cold, keyed, buckets):
+            runtime.drop(done)
+    return likely, hot.select("cls").distinct()
 
 
 def least_agreement(s: Settings) -> float:
@@ -265,18 +296,19 @@ def near_duplicates(table: DataFrame, id_col: str, text_col: str, s: Settings =
     held = runtime.materialise(classes(signed), "classes")
     members = runtime.materialise(signed.select("id", "cls").distinct().join(held.select("cls", "rep"), "cls").select("id", "rep"), "members")
     runtime.drop(signed)
-    likely, large, buckets = candidates(held, s)
-    large = runtime.materialise(large, "hot")
+    likely, large = candidates(held, s)
     of = lambda x: held.select(F.col("cls").alias(f"cls_{x}"), F.col("rep").alias(f"rep_{x}"), F.col("bits").alias(f"bits_{x}"))
     by_id = agreeing(likely.join(of("a"), "cls_a").join(of("b"), "cls_b"), s).select(F.least("rep_a", "rep_b").alias("id_a"), F.greatest("rep_a", "rep_b").alias("id_b"))
     by_id = runtime.materialise(by_id, "pairs")
-    runtime.drop(buckets)
+    wanted = runtime.materialise(large.join(held.select("cls", "rep"), "cls").select(F.col("rep").alias("id")), "wanted")
+    for done in (likely, held):
+        runtime.drop(done)
     once = texts.where(F.col("id").isNotNull() & F.col("text").isNotNull())
-    links = verified(by_id, once, s)
-    if not large.isEmpty():
-        wanted = large.join(held, "cls").select(F.col("rep").alias("id"))
+    links = runtime.materialise(verified(by_id, once, s), "verified")
+    if not wanted.isEmpty():
         hot = runtime.materialise(shingle_rows(once.join(wanted, "id", "left_semi").dropDuplicates(["id"]), s), "shingles")
-        links = links.unionByName(prefix_pairs(hot, s.threshold)).dropDuplicates(["id_a", "id_b"])
+        links = runtime.materialise(links.unionByName(prefix_pairs(hot, s.threshold)).dropDuplicates(["id_a", "id_b"]), "links")
+        runtime.drop(hot)
     return Found(links, members)
 
 

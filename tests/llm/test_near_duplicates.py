@@ -1,8 +1,11 @@
 import itertools
 import random
+import time
 
 import pytest
+from pyspark.sql import functions as F
 
+from siltstone import runtime
 from siltstone.llm import near_duplicates as nd
 
 S = nd.Settings(shingle=3, threshold=0.5, min_words=12, bands=40, rows=3, min_shared=2)
@@ -97,3 +100,31 @@ def test_components(spark, edges):
 def test_empty(spark):
     df = spark.createDataFrame([], "id long, text string")
     assert nd.all_pairs(nd.near_duplicates(df, "id", "text", S)).count() == 0 and nd.groups(df, "id", "text", S).count() == 0
+
+
+def test_a_stock_phrase_sends_nothing_the_exact_way(spark, monkeypatch):
+    """A phrase that all texts have crowds single keys; of the texts that share it only those with a second key in common
+    are pairs, and the table isn't taken apart into shingles."""
+    r = random.Random(11)
+    rows = [(i, " ".join([f"v{r.randrange(5000)}" for _ in range(14)] + [f"s{k}" for k in range(10)] + [f"v{r.randrange(5000)}" for _ in range(14)])) for i in range(240)]
+    rows += [(1000 + i, rows[i][1].replace("v", "u", 1)) for i in range(0, 60, 3)]
+    s = nd.Settings(shingle=3, threshold=0.5, min_words=12, bands=40, rows=3, min_shared=2, bucket_cap=32)
+    df = spark.createDataFrame(rows, "id long, text string")
+    sizes = {}
+    for row in nd.signatures(df, s).collect():
+        for key in row["keys"] or []:
+            sizes[key] = sizes.get(key, 0) + 1
+    assert max(sizes.values()) > s.bucket_cap
+    monkeypatch.setattr(nd, "shingle_rows", lambda *_: pytest.fail("the exact way"))
+    assert {tuple(r) for r in nd.all_pairs(nd.near_duplicates(df, "id", "text", s)).collect()} == brute(rows, s)
+
+
+def test_shuffles_go_with_the_table_they_were_for(spark):
+    files = lambda: {f for f in spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().mkString(" ").split() if "shuffle_" in f}
+    before = files()
+    held = runtime.materialise(spark.range(10_000).groupBy((F.col("id") % 97).alias("k")).count(), "counts")
+    for _ in range(50):
+        if not (left := files() - before):
+            break
+        time.sleep(0.1)
+    assert not left and held.count() == 97 and spark.conf.get(runtime.CLEANUP) == "false"
