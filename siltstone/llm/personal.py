@@ -9,14 +9,14 @@ and names of persons, found by weak supervision and replaced by typed placeholde
 3. Expectation-maximisation over the counts of vote patterns estimates how reliable each labeler is for
    each kind, and the probability of each pattern. A vote for must speak for a span at least as strongly as against it,
    and a vote against the other way round, so that no labeler changes sides and a decoy can't become a kind of its own.
-   There are at most 3 ** labelers patterns a kind, so what the driver sees doesn't grow with the data. Of the word
-   pairs for which nothing speaks, an eighth is proposed, and counts eight times.
+   There are at most 3 ** labelers patterns a kind, so what the driver sees doesn't grow with the data. Word
+   pairs for which nothing speaks aren't candidates, but the estimation counts them too, each of them.
 4. A span classifier (logistic, over hashed features of the span, its affixes, its neighbours and its votes) is
-   trained on those probabilities, on a bounded sample of labelled candidates (``sample`` in all, as many of each kind,
-   chosen by a hash of their place), and decides every candidate of every text.
+   trained on those probabilities, on all candidates of all texts (``rounds`` passes, each of which brings the driver the
+   sum of their gradients), and decides every candidate of every text.
 
-Each distinct text is read twice, once for the lexicon and once for its candidates, which are written down with their
-votes and features: estimation, training and decisions read those. Decisions go back to the records by the text's
+Each distinct text is read three times, for the lexicon, for its candidates, which are written down with their
+votes and features, and for the pairs that are counted only: training and decisions read what is written down. Decisions go back to the records by the text's
 128-bit number, spread over salts, as one text may be a third of the log.
 
 Counts cover all distinct texts. Rows repeated (same id and text) count once. Null ids are dropped, null texts stay
@@ -79,11 +79,12 @@ BELIEFS = {"": ((0.05, 0.35, 0.6), (0.5, 0.45, 0.05)), "decoy": ((0.002, 0.988,
 
 @dataclass(frozen=True)
 class Settings:
-    """sample: labelled candidates that the classifier is trained on. frequent: share of distinct texts from which a word
+    """rounds, rate: passes over all candidates that the classifier is trained in, and its first step. frequent: share of distinct texts from which a word
     is rather no name. affix_share: share of all names behind given names under which a beginning or an end is no affix of
     surnames (so there are at most 5 / affix_share of them). context_share, lift: see ``contexts_of``. buckets: hashed features. salts: parts of a hot text."""
 
-    sample: int = 20_000
+    rounds: int = 40
+    rate: float = 0.5
     frequent: float = 0.001
     affix_share: float = 1e-5
     context_share: float = 0.005
@@ -110,7 +111,6 @@ class Candidate:
     votes: tuple
     features: list
     near: list
-    ordinary: bool = False
 
 
 def around(text: str, start: int, end: int, n: int = 3) -> tuple[list[str], list[str]]:
@@ -169,13 +169,10 @@ def surname_score(name: str, lexicon: Lexicon) -> float:
     return got
 
 
-ORDINARY = 8
-
-
 def names_in(text: str, taken: list[tuple[int, int]], lexicon: Lexicon, ordinary: bool = False) -> list[tuple[int, int, str, str, str, bool]]:
     """(start, end, first, last, form, nothing speaks for it) of what may be a person. ``taken``: spans of other kinds. With
-    ``ordinary``, also an eighth of the word pairs for which nothing speaks, chosen by a hash: without them
-    the estimation would see no pair that isn't a name."""
+    ``ordinary``, also the word pairs for which nothing speaks: without them the estimation would see no pair that isn't
+    a name."""
     tokens = [(m[0], m.start(), m.end()) for m in TOKEN.finditer(text)]
     free = [t[0].isalpha() and not (taken and any(a < e and s < b for a, b in taken)) for t, s, e in tokens]
     out = []
@@ -210,7 +207,7 @@ def names_in(text: str, taken: list[tuple[int, int]], lexicon: Lexicon, ordinary
         if not free[j] or len(last[0]) < 2 or last[1] - e > 12 or "\n" in text[e : last[1]]:
             continue
         speaks = low in lexicon.given or likely(last[0]) > 0 and len(t) > 1
-        if speaks or ordinary and zlib.crc32((low + last[0]).encode()) % ORDINARY == 0:
+        if speaks or ordinary:
             out.append((s, last[2], low, last[0], "plain", not speaks))
     return out
 
@@ -231,28 +228,23 @@ def features(kind: str, span: str, before: list[str], after: list[str], votes: t
     return out + [f"{kind}:{x}" for x in extra]
 
 
-def candidates(text: str, lexicon: Lexicon, ordinary: bool = False) -> list[Candidate]:
-    """Candidates of a text, by kind; a span that an earlier kind took whole isn't proposed again."""
-    out: list[Candidate] = []
+def formed(text: str) -> tuple[list[tuple[str, int, int, tuple]], list[tuple[int, int]]]:
+    """(kind, start, end, votes) of the candidates that have a form of their own, which names have not, and the spans that
+    are taken; a span that an earlier kind took whole isn't proposed again."""
+    out: list[tuple[str, int, int, tuple]] = []
     taken: list[tuple[int, int]] = []
-
-    def add(kind, s, e, votes, extra=(), nothing=False):
-        before, after = around(text, s, e)
-        near = sorted({w for w in (*before, *after[:2]) if w.isalpha()})
-        out.append(Candidate(kind, s, e, votes, features(kind, text[s:e], before, after, votes, list(extra)), near, nothing))
-
     digits = sum(map(text.count, "0123456789"))
     for m in MAIL.finditer(text) if "@" in text or AT.search(text) else ():
         top = re.split(r"\.|\bdot\b", m[0])[-1].strip(" ])")
         strict = bool(re.fullmatch(r"(?:mailto:)?[\w.%+-]+@[\w-]+(?:\.[\w-]+)*\.[A-Za-z]{2,}", m[0]))
-        add("email", *m.span(), (1 if strict else 0, 1 if top.isalpha() and len(top) >= 2 else -1, 0))
+        out.append(("email", *m.span(), (1 if strict else 0, 1 if top.isalpha() and len(top) >= 2 else -1, 0)))
         taken.append(m.span())
     inside = lambda s, e: any(a < e and s < b for a, b in taken)
     spans = []
     for m in ADDRESS.finditer(text) if digits else ():
         if not inside(*m.span()):
             votes = _address_votes(text, *m.span())
-            add("address", *m.span(), votes)
+            out.append(("address", *m.span(), votes))
             if max(votes) > 0:
                 spans.append(m.span())
     taken += spans
@@ -261,15 +253,46 @@ def candidates(text: str, lexicon: Lexicon, ordinary: bool = False) -> list[Cand
             before, after = around(text, *m.span(), 4)
             votes = _id_votes(m[0], before, after)
             if any(v > 0 for v in votes[:2]):
-                add("id_number", *m.span(), votes)
+                out.append(("id_number", *m.span(), votes))
                 taken.append(m.span())
     for m in PHONE.finditer(text) if digits > 2 else ():
         if not inside(*m.span()):
             before, after = around(text, *m.span(), 4)
-            add("phone", *m.span(), _phone_votes(m[0].strip(), before, after))
-    for s, e, first, last, form, nothing in names_in(text, taken, lexicon, ordinary):
+            out.append(("phone", *m.span(), _phone_votes(m[0].strip(), before, after)))
+    return out, taken
+
+
+def near_words(before: list[str], after: list[str]) -> set[str]:
+    return {w for w in (*before, *after[:2]) if w.isalpha()}
+
+
+def candidates(text: str, lexicon: Lexicon) -> list[Candidate]:
+    """Candidates of a text, by kind."""
+    out: list[Candidate] = []
+
+    def add(kind, s, e, votes, before, after, extra=()):
+        out.append(Candidate(kind, s, e, votes, features(kind, text[s:e], before, after, votes, list(extra)), sorted(near_words(before, after))))
+
+    spans, taken = formed(text)
+    for kind, s, e, votes in spans:
+        add(kind, s, e, votes, *around(text, s, e))
+    for s, e, first, last, form, _ in names_in(text, taken, lexicon):
         before, after = around(text, s, e)
-        add("person", s, e, _person_votes(text, first, last, form, before, after, lexicon), [f"form:{form}", f"given:{first in lexicon.given}", *affixes_of(last.split("-")[-1]), f"last:{last.lower()}"], nothing)
+        add("person", s, e, _person_votes(text, first, last, form, before, after, lexicon), before, after, [f"form:{form}", f"given:{first in lexicon.given}", *affixes_of(last.split("-")[-1]), f"last:{last.lower()}"])
+    return out
+
+
+def ordinary_votes(text: str, lexicon: Lexicon, said: re.Pattern | None) -> list[tuple]:
+    """The votes, with the context's, on each pair of words for which nothing speaks. ``said`` finds words of the context
+    anywhere: a text without any, and without capitals, needs no look around its pairs."""
+    out, context = [], set(lexicon.contexts.get("person", ()))
+    spoken, plain = bool(said and said.search(text.lower())), text.islower()
+    for s, e, first, last, form, nothing in names_in(text, formed(text)[1], lexicon, True):
+        if nothing:
+            before, after = around(text, s, e) if spoken or not plain and last.islower() else ([], [])
+            votes = list(_person_votes(text, first, last, form, before, after, lexicon))
+            votes[CONTEXT] = int(spoken and not context.isdisjoint(near_words(before, after)))
+            out.append(tuple(votes))
     return out
 
 
@@ -307,28 +330,6 @@ def bucket(feature: str, buckets: int) -> int:
     return zlib.crc32(feature.encode()) % buckets
 
 
-def fit(rows: list[tuple[list[int], float]], buckets: int, rounds: int = 30, batch: int = 64) -> np.ndarray:
-    """Weights of a logistic classifier by AdaGrad over small batches, on soft labels; the last one is the bias."""
-    w, g = np.zeros(buckets + 2), np.full(buckets + 2, 1e-6)  # one more, for places that a row doesn't fill
-    if not rows:
-        return w[:-1]
-    at = np.full((len(rows), max(len(i) for i, _ in rows) + 1), buckets + 1)
-    for k, (idx, _) in enumerate(rows):
-        at[k, : len(idx)] = idx
-    at[:, -1] = buckets
-    label, order = np.array([q for _, q in rows]), np.random.default_rng(3)
-    for _ in range(rounds):
-        for part in np.array_split(order.permutation(len(rows)), max(1, len(rows) // batch)):
-            here = at[part]
-            d = label[part] - 1 / (1 + np.exp(-np.clip(w[here].sum(1), -30, 30)))
-            step = np.zeros_like(w)
-            np.add.at(step, here, np.broadcast_to(d[:, None], here.shape))
-            step[-1] = 0
-            g += step * step
-            w += 0.3 * step / np.sqrt(g)
-    return w[:-1]
-
-
 @dataclass
 class Model:
     """What is learnt."""
@@ -427,21 +428,21 @@ def contexts_of(proposed: DataFrame, words: DataFrame, total: int, s: Settings)
     return out
 
 
-PROPOSED = "kind string, start int, end int, votes string, ordinary boolean, feats array<int>, near array<string>"
+PROPOSED = "kind string, start int, end int, votes string, feats array<int>, near array<string>"
 
 
 def proposals(distinct: DataFrame, lexicon: Lexicon, s: Settings) -> DataFrame:
     """(text_a, text_b, met): the candidates of each distinct text (text, text_a, text_b) that has some."""
-    kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("votes", pa.string()), ("ordinary", pa.bool_()), ("feats", pa.list_(pa.int32())), ("near", pa.list_(pa.string()))]))
+    kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("votes", pa.string()), ("feats", pa.list_(pa.int32())), ("near", pa.list_(pa.string()))]))
 
     def propose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            met = [[(c.kind, c.start, c.end, ",".join(map(str, c.votes)), c.ordinary, [bucket(f, s.buckets) for f in c.features], c.near) for c in candidates(text, lexicon, True)] for text in batch.column(0).to_pylist()]
+            met = [[(c.kind, c.start, c.end, ",".join(map(str, c.votes)), [bucket(f, s.buckets) for f in c.features], c.near) for c in candidates(text, lexicon)] for text in batch.column(0).to_pylist()]
             some = pa.array([bool(m) for m in met], pa.bool_())
-            rows = pa.array([[dict(zip(("kind", "start", "end", "votes", "ordinary", "feats", "near"), c)) for c in m] for m in met if m], kind)
+            rows = pa.array([[dict(zip(("kind", "start", "end", "votes", "feats", "near"), c)) for c in m] for m in met if m], kind)
             yield pa.RecordBatch.from_arrays([batch.column(1).filter(some), batch.column(2).filter(some), rows], [*KEY, "met"])
 
-    return distinct.select("text", *KEY).mapInArrow(propose, f"{KEY[0]} bigint, {KEY[1]} bigint, met array<struct<{PROPOSED.replace(' string', ':string').replace(' int', ':int').replace(' boolean', ':boolean').replace(' array', ':array')}>>")
+    return distinct.select("text", *KEY).mapInArrow(propose, f"{KEY[0]} bigint, {KEY[1]} bigint, met array<struct<{PROPOSED.replace(' string', ':string').replace(' int', ':int').replace(' array', ':array')}>>")
 
 
 def context_feature(kind: str, vote: int, buckets: int) -> int:
@@ -458,24 +459,81 @@ def with_contexts(proposed: DataFrame, lexicon: Lexicon, s: Settings) -> DataFra
             said = F.when(c["kind"] == k, mine).otherwise(said)
             feature = F.when(c["kind"] == k, F.when(mine, context_feature(k, 1, s.buckets)).otherwise(context_feature(k, 0, s.buckets))).otherwise(feature)
         votes = F.regexp_replace(c["votes"], r"^(-?\d,-?\d),0", F.concat(F.lit("$1,"), F.when(said, "1").otherwise("0")))
-        return F.struct(c["kind"].alias("kind"), c["start"].alias("start"), c["end"].alias("end"), votes.alias("votes"), c["ordinary"].alias("ordinary"), F.array_append(c["feats"], feature).alias("feats"))
+        return F.struct(c["kind"].alias("kind"), c["start"].alias("start"), c["end"].alias("end"), votes.alias("votes"), F.array_append(c["feats"], feature).alias("feats"))
 
     return proposed.select(*KEY, F.transform("met", one).alias("met"))
 
 
-def learn(proposed: DataFrame, lexicon: Lexicon, s: Settings) -> Model:
-    """Reliabilities from all candidates, and the classifier; what comes to the driver is bounded by the settings."""
-    each = proposed.select(*KEY, F.explode("met").alias("c")).select(*KEY, "c.*")
-    weight = F.when(F.col("ordinary"), ORDINARY).otherwise(1)
-    by_pattern = each.groupBy("kind", "votes").agg(F.sum(weight).alias("n")).collect()  # at most 3 ** labelers a kind
-    patterns: dict = {}
-    for k in KINDS:
-        counts = {tuple(map(int, r["votes"].split(","))): r["n"] for r in by_pattern if r["kind"] == k}
-        patterns |= {(k, p): q for p, q in reliabilities(counts, LABELERS[k]).items()}
-    place = F.row_number().over(W.partitionBy("kind").orderBy(F.xxhash64(*KEY, "start", "end"), *KEY, "start", "end"))
-    sampled = each.withColumn("place", place).where(F.col("place") <= s.sample // len(KINDS)).select("kind", "votes", "feats").collect()  # the bounded sample
-    rows = [(list(r["feats"]), patterns[r["kind"], tuple(map(int, r["votes"].split(",")))]) for r in sorted(sampled, key=lambda r: (r["kind"], r["votes"], r["feats"]))]
-    return Model(lexicon, fit(rows, s.buckets), s, patterns)
+def ordinary_patterns(distinct: DataFrame, lexicon: Lexicon) -> DataFrame:
+    """(votes, n): how often each pattern of votes came on pairs of words for which nothing speaks, in all texts."""
+    words = lexicon.contexts.get("person", ())
+    said = re.compile("|".join(map(re.escape, words))) if words else None
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts: Counter = Counter()
+        for batch in batches:
+            for text in batch.column(0).to_pylist():
+                counts.update(ordinary_votes(text, lexicon, said))
+        yield pa.RecordBatch.from_arrays([pa.array([",".join(map(str, k)) for k in counts], pa.string()), pa.array(list(counts.values()), pa.int64())], ["votes", "n"])
+
+    return distinct.mapInArrow(count, "votes string, n bigint").groupBy("votes").agg(F.sum("n").alias("n"))
+
+
+def flat_scores(lists: pa.ListArray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(scores, places, how many each row has) of rows of features; the last weight is the bias."""
+    sizes, places = np.asarray(lists.value_lengths()), np.asarray(lists.flatten())
+    if not len(sizes):
+        return np.zeros(0), places, sizes
+    return np.add.reduceat(weights[places], np.concatenate(([0], np.cumsum(sizes)[:-1]))) + weights[-1], places, sizes
+
+
+WHOLE = 1 << 24  # gradients are summed as whole numbers, so that no order of rows or tasks changes the sum
+
+
+def gradient(voted: DataFrame, patterns: dict, weights: np.ndarray) -> np.ndarray:
+    """The gradient of the log-likelihood of the probabilities ``patterns``, over all candidates of ``voted``."""
+    labels = {f"{k}:{','.join(map(str, p))}": q for (k, p), q in patterns.items()}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(len(weights), np.int64)
+        for batch in batches:
+            flat = batch.column(0).flatten()
+            z, places, sizes = flat_scores(flat.field("feats"), weights)
+            seen = pa.compute.binary_join_element_wise(flat.field("kind"), flat.field("votes"), ":").dictionary_encode()
+            label = np.array([labels[v] for v in seen.dictionary.to_pylist()], float)[np.asarray(seen.indices)]
+            d = np.rint((label - 1 / (1 + np.exp(-np.clip(z, -30, 30)))) * WHOLE)
+            total += np.bincount(places, np.repeat(d, sizes), len(weights)).astype(np.int64)
+            total[-1] += int(d.sum())
+        at = np.nonzero(total)[0]
+        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(total[at])], ["place", "n"])
+
+    with runtime.cleaning(voted.sparkSession):
+        sums = voted.select("met").mapInArrow(run, "place bigint, n bigint").groupBy("place").agg(F.sum("n").alias("n")).toPandas()  # a row a weight
+    out = np.zeros(len(weights))
+    out[sums["place"].to_numpy(int)] = sums["n"].to_numpy(float) / WHOLE
+    return out
+
+
+def fit(voted: DataFrame, patterns: dict, s: Settings) -> np.ndarray:
+    """Weights of a logistic classifier by AdaGrad over all candidates, on soft labels; the last one is the bias."""
+    w, g = np.zeros(s.buckets + 1), np.full(s.buckets + 1, 1e-6)
+    for _ in range(s.rounds if patterns else 0):
+        step = gradient(voted, patterns, w)
+        g += step * step
+        w += s.rate * step / np.sqrt(g)
+    return w
+
+
+def learn(voted: DataFrame, ordinary: DataFrame, lexicon: Lexicon, s: Settings) -> Model:
+    """Reliabilities from all candidates and the pairs ``ordinary`` (votes, n), and the classifier from all candidates;
+    what comes to the driver is bounded by the settings."""
+    counts: dict = {k: Counter() for k in KINDS}
+    for r in voted.select(F.explode("met").alias("c")).groupBy("c.kind", "c.votes").agg(F.count("*").alias("n")).collect():  # at most 3 ** labelers a kind
+        counts[r["kind"]][tuple(map(int, r["votes"].split(",")))] += r["n"]
+    for r in ordinary.collect():  # as many at most
+        counts["person"][tuple(map(int, r["votes"].split(",")))] += r["n"]
+    patterns = {(k, p): q for k in KINDS for p, q in reliabilities(counts[k], LABELERS[k]).items()}
+    return Model(lexicon, fit(voted, patterns, s), s, patterns)
 
 
 def decided(proposed: DataFrame, model: Model) -> DataFrame:
@@ -486,10 +544,7 @@ def decided(proposed: DataFrame, model: Model) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             flat = batch.column(2).flatten()
-            lists = flat.field("feats")
-            sizes = np.asarray(lists.value_lengths())
-            z = np.add.reduceat(weights[np.asarray(lists.flatten())], np.concatenate(([0], np.cumsum(sizes)[:-1]))) + weights[-1] if len(flat) else np.zeros(0)
-            z = np.where(np.asarray(flat.field("ordinary")), -np.inf, z)
+            z = flat_scores(flat.field("feats"), weights)[0]
             starts, ends, kinds = (flat.field(c).to_pylist() for c in ("start", "end", "kind"))
             out, at = [], 0
             for n in np.asarray(batch.column(2).value_lengths()).tolist():
@@ -509,8 +564,9 @@ def spans_of(table: DataFrame, text_col: str, given_names: DataFrame, s: Setting
     lexicon, words, total = lexicon_of(distinct.select("text"), given_names, s)
     proposed = runtime.materialise(proposals(distinct, lexicon, s), "proposals")
     lexicon.contexts = contexts_of(proposed, words, total, s)
-    voted = with_contexts(proposed, lexicon, s)
-    return decided(voted, learn(voted, lexicon, s))
+    voted = runtime.materialise(with_contexts(proposed, lexicon, s), "voted")
+    runtime.drop(proposed)
+    return decided(voted, learn(voted, ordinary_patterns(distinct.select("text"), lexicon), lexicon, s))
 
 
 def _salted(spans: DataFrame, s: Settings) -> DataFrame:

@@ -1,6 +1,9 @@
 import random
 import re
 
+import numpy as np
+from pyspark.sql import functions as F
+
 from siltstone.llm import garbled, markup, page_content, page_lines, personal
 
 
@@ -250,3 +253,35 @@ def test_personal_in_a_scaled_log(spark):
     assert sum(i in got for i in decoys) / len(decoys) < 0.01
     assert not any("road map" in t for i, t in rows if i in got)
     assert sum(got.get(i, set()) != k for i, k in want.items()) / len(want) < 0.03
+
+
+def test_personal_counts_every_pair(spark):
+    """Each pair of words for which nothing speaks is counted, in every text, however the texts lie over tasks."""
+    lexicon = personal.Lexicon(frozenset(), frozenset(), {})
+    words = [f"w{chr(97 + k)}{chr(97 + j)}x" for k in range(20) for j in range(5)]
+    pairs = personal.names_in(" ".join(words), [], lexicon, True)
+    assert [(first, last) for _, _, first, last, _, _ in pairs] == list(zip(words, words[1:]))
+    texts = [" ".join(words[k : k + 4]) for k in range(0, 96, 2)]
+    for n in (1, 5):
+        counted = personal.ordinary_patterns(spark.createDataFrame([(t,) for t in texts], "text string").repartition(n), lexicon).collect()
+        assert sum(r.n for r in counted) == 3 * len(texts)
+
+
+def test_personal_is_trained_on_every_candidate(spark):
+    """The gradient is that of all candidates, to the last digit the same however they lie over tasks."""
+    given, rows, _ = personal_rows(400)
+    s, names = personal.Settings(), spark.createDataFrame([(g, 1) for g in given], "given_name string, n_seen long")
+    distinct = spark.createDataFrame(sorted({(t,) for _, t in rows if t}), "text string").select("text", *personal.numbers(F.col("text"))).cache()
+    lexicon, _, _ = personal.lexicon_of(distinct.select("text"), names, s)
+    voted = personal.with_contexts(personal.proposals(distinct, lexicon, s), lexicon, s).cache()
+    each = [c for r in voted.collect() for c in r.met]
+    keys = sorted({(c.kind, tuple(map(int, c.votes.split(",")))) for c in each})
+    patterns = {k: (at + 1) / (len(keys) + 1) for at, k in enumerate(keys)}
+    weights = np.random.default_rng(1).normal(size=s.buckets + 1)
+    want = np.zeros(s.buckets + 1)
+    for c in each:
+        d = patterns[c.kind, tuple(map(int, c.votes.split(",")))] - 1 / (1 + np.exp(-np.clip(weights[c.feats].sum() + weights[-1], -30, 30)))
+        np.add.at(want, c.feats, d)
+        want[-1] += d
+    one, five = (personal.gradient(voted.repartition(n), patterns, weights) for n in (1, 5))
+    assert len(each) > 300 and np.abs(one - want).max() < 1e-4 and (one == five).all()
