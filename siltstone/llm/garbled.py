@@ -8,9 +8,9 @@ sees would else train the model as sound. Every candidate encode-decode chain is
 non-ASCII character, up to three times in a row (text can be damaged twice), by the log-likelihood ratio of the
 candidate line against the line as it is. A chain isn't summed to its end only where a bound, which holds for every
 window, proves that it can't reach the margin: that saves work and changes no result. The likeliest chain is
-accepted if it gains more than a margin, which is validated on a bounded sample of labelled lines (``sample``): clean
-lines must not reach it under any chain, and the same lines, damaged by the known chains, must. Where there is no line
-to validate on, the margin is ``margin``.
+accepted if it gains more than a margin, which is validated on all clean lines: these
+must not reach it under any chain, and the same lines, damaged each by one of the known chains, must. What they gain is written
+down, and the driver gets counts of ranges of it. Where there is no line to validate on, the margin is ``margin``.
 
 Character references stand for their characters where several stand side by side or one stands by a non-ASCII
 character, so damage that was escaped is read as well, also in texts that are ASCII throughout.
@@ -67,11 +67,10 @@ STANDALONE = set("–—…€°•→©®™")
 
 @dataclass(frozen=True)
 class Settings:
-    """least_share: share of all places under which an n-gram is left to the back-off. sample: labelled lines that the
-    margin is validated on. margin: the one where none can be validated, in nats. times: chains in a row."""
+    """least_share: share of all places under which an n-gram is left to the back-off. margin: the one where none can be
+    validated, in nats. times: chains in a row."""
 
     least_share: float = 2e-6
-    sample: int = 800
     margin: float = 6.0
     times: int = 3
 
@@ -272,13 +271,16 @@ class Model:
 
     def logp(self, gram: str) -> float:
         """Of the last character after the ones before it; a nat less for each shorter context."""
-        logs, cost = self.logs, 0.0
-        for g in (gram, gram[1:], gram[2:], gram[3:]):
-            got = logs.get(g)
-            if got is not None:
-                return got - cost
-            cost += 1.0
-        return self.unseen - cost
+        get = self.logs.get
+        if (got := get(gram)) is not None:
+            return got
+        if (got := get(gram[1:])) is not None:
+            return got - 1.0
+        if (got := get(gram[2:])) is not None:
+            return got - 2.0
+        if (got := get(gram[3:])) is not None:
+            return got - 3.0
+        return self.unseen - 4.0
 
     def window(self, w: str) -> float:
         """The log-likelihood of a window."""
@@ -286,7 +288,12 @@ class Model:
         if got is None:
             if len(self.scores) > 300_000:
                 self.scores.clear()
-            got = self.scores[w] = sum(self.logp(w[i - 3 : i + 1]) for i in range(3, len(w)))
+            logs, each = self.logs, []
+            for i in range(3, len(w)):
+                g = w[i - 3 : i + 1]
+                v = logs.get(g)
+                each.append(self.logp(g) if v is None else v)
+            got = self.scores[w] = sum(each)
         return got
 
     def changed(self, before: str, w: str) -> float:
@@ -351,9 +358,9 @@ class Model:
 def best_chain(ws: list[str], model: Model, least: float) -> tuple[float, tuple[str, str]] | None:
     """(gain, chain) of the likeliest of all chains over all windows of a line, the first one of equals; None where none
     gains ``least``. What is left out, and a sum that is left, can't reach ``least`` or the best so far."""
-    bits, top, met = 0, 0.0, []
+    bits, top, met, known = 0, 0.0, [], model.known
     for w in ws:
-        a = model.about(w)
+        a = known.get(w) or model.about(w)
         bits |= a[1]
         top += a[3]
         met.append((w, a))
@@ -370,8 +377,10 @@ def best_chain(ws: list[str], model: Model, least: float) -> tuple[float, tuple[
             else:
                 if total > best or chain is None and total >= best:
                     best, chain = total, k
-    if top >= best - 1e-9:
-        bound = np.sum([a[2] for _, a in met], axis=0)
+    if met and top >= best - 1e-9:
+        bound = met[0][1][2].copy()
+        for _, a in met[1:]:
+            bound += a[2]
         for j in np.nonzero(bound >= best - 1e-9)[0].tolist():
             total, rest = 0.0, float(bound[j])
             for w, a in met:
@@ -403,15 +412,15 @@ def restore(text: str, model: Model, margin: float, times: int) -> tuple[bool, s
     return damaged, "\n".join(lines)
 
 
-_models: dict[int, tuple[tuple, Model]] = {}  # with the value, so that its number isn't another's
+_models: dict[int, tuple[dict, Model]] = {}  # with the value, so that its number isn't another's
 
 
 def model_of(known: Broadcast) -> Model:
-    """The model of a broadcast (counts, margin), built once in a worker, with what it remembers."""
+    """The model of broadcast counts, built once in a worker, with what it remembers."""
     value = known.value
     if id(value) not in _models:
         _models.clear()
-        _models[id(value)] = value, Model(value[0])
+        _models[id(value)] = value, Model(value)
     return _models[id(value)][1]
 
 
@@ -472,22 +481,78 @@ def model_counts(grams: DataFrame, s: Settings) -> dict[str, int]:
     return dict(zip(kept["gram"].tolist(), kept["n"].tolist()))
 
 
-def validated_margin(model: Model, lines: list[list[str]], s: Settings) -> float:
-    """A third of the way from what clean lines, given as windows, gain under a wrong chain to what damaged ones gain by
-    repair. Where these overlap, as damage is left among the lines, what nearly all damaged ones gain decides."""
-    sound, repaired = [], []
-    for k, ws in enumerate(lines):
-        best = best_chain(ws, model, 0.0)
-        sound.append(best[0] if best else 0.0)  # what a chain that changes nothing gains
-        chain = (UTF8_CHAINS[:6] + BYTE_CHAINS)[k % (6 + len(BYTE_CHAINS))]
-        heads, bad = [damage(w[:3], chain) for w in ws], [damage(w[3:], chain) for w in ws]
-        if all(heads) and all(bad) and [apply_chain(w, chain) or w for w in bad] == [w[3:] for w in ws] != bad:
-            repaired.append(sum(map(model.window, ws)) - sum(map(model.changed, heads, bad)))
-    if not sound or not repaired:
+KNOWN = UTF8_CHAINS[:6] + BYTE_CHAINS
+NONE = 1e-8  # a gain under it is none; the bounds have room of a tenth of it
+
+
+class Validation:
+    """What clean lines gain, wrongly and by repair; remembers windows."""
+
+    def __init__(self, model: Model):
+        self.model, self.known = model, [{} for _ in KNOWN]
+
+    def repaired(self, w: str, k: int) -> tuple[bool, float] | None:
+        """Whether known chain ``k`` damages a window, and what undoing it gains; None where it can't, or can't be undone."""
+        chain, got = KNOWN[k], None
+        bad = damage(w[3:], chain)
+        if bad and (apply_chain(bad, chain) or bad) == w[3:]:
+            head = w[:3] if w[:3].isascii() else damage(w[:3], chain)
+            if head:
+                got = bad != w[3:], self.model.window(w) - self.model.changed(head, bad)
+        if len(self.known[k]) > 10_000:
+            self.known[k].clear()
+        self.known[k][w] = got
+        return got
+
+    def line(self, number: int, ws: list[str]) -> tuple[float, float | None]:
+        """What a clean line, given as windows, gains under a wrong chain, 0 where none gains, and what it gains by repair
+        when one of the known chains has damaged it, None where that one can't. ``number`` chooses the chain."""
+        best, k = best_chain(ws, self.model, NONE), number % len(KNOWN)
+        sound, total, changes, known = best[0] if best else 0.0, 0.0, False, self.known[k]
+        for w in ws:
+            got = known[w] if w in known else self.repaired(w, k)
+            if got is None:
+                return sound, None
+            changes |= got[0]
+            total += got[1]
+        return sound, total if changes else None
+
+
+FEW = 10_000  # numbers that may come to the driver
+
+
+def nth(values: DataFrame, n: int, count: int, low: float, high: float) -> float:
+    """The ``n``-th least of ``values`` (v), from 0, exactly: ranges are counted, and the one that holds it is parted again.
+    ``count``, ``low``, ``high``: how many there are, the least and the largest."""
+    while low < high and count > FEW:
+        part = F.floor((F.col("v") - low) / (high - low) * 1024).alias("part")
+        parts = values.where(F.col("v").between(low, high)).groupBy(part).agg(F.count("*").alias("n"), F.min("v").alias("low"), F.max("v").alias("high")).collect()  # 1,025 at most
+        for r in sorted(parts, key=lambda r: r["low"]):
+            if n < r["n"]:
+                count, low, high = r["n"], r["low"], r["high"]
+                break
+            n -= r["n"]
+    return low if low == high else sorted(r["v"] for r in values.where(F.col("v").between(low, high)).collect())[n]  # FEW at most
+
+
+def validated_margin(known: Broadcast, lines: DataFrame, s: Settings) -> float:
+    """A third of the way from what all clean ``lines`` (hashes, lines) gain under a wrong chain to what they gain by
+    repair when they are damaged. Where these overlap, as damage is left among the lines, what nearly all damaged ones
+    gain decides."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of = Validation(model_of(known))
+        for batch in batches:
+            got = [of.line(h, x.split(NEXT_WINDOW)) for h, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())]
+            yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in got], pa.float64()), pa.array([b for _, b in got], pa.float64())], ["sound", "repaired"])
+
+    gains = runtime.materialise(lines.select("hashes", "lines").mapInArrow(run, "sound double, repaired double"), "gains")
+    n, *sound, m, low, high = gains.agg(*(f(c) for c in ("sound", "repaired") for f in (F.count, F.min, F.max))).first()
+    if not n or not m:
         return s.margin
-    sound.sort()
-    repaired.sort()
-    high, low = sound[int(len(sound) * 0.995) - 1], repaired[int(len(repaired) * 0.02)]
+    of = lambda c: gains.select(F.col(c).alias("v"))
+    high, low = nth(of("sound"), max(0, int(n * 0.995) - 1), n, *sound), nth(of("repaired"), int(m * 0.02), m, low, high)
+    runtime.drop(gains)
     return min(high + (low - high) / 3, low)
 
 
@@ -502,17 +567,16 @@ def repair(table: DataFrame, id_col: str, text_col: str, s: Settings = Settings(
     lines = runtime.materialise(of_lines(trusted).groupBy("hashes").agg(F.first("lines").alias("lines"), F.count("*").alias("n")), "lines")
     grams = runtime.materialise(ngram_counts(lines.select("lines")), "grams")
 
-    def fitted(counted: DataFrame, clean: DataFrame) -> Broadcast:
-        counts = model_counts(counted, s)
-        chosen = clean.orderBy(F.xxhash64("hashes", F.lit(7)), "hashes").limit(s.sample).select("lines").collect()  # the bounded sample
-        return spark.sparkContext.broadcast((counts, validated_margin(Model(counts), [r["lines"].split(NEXT_WINDOW) for r in chosen], s)))
+    def fitted(counted: DataFrame, clean: DataFrame) -> tuple[Broadcast, float]:
+        known = spark.sparkContext.broadcast(model_counts(counted, s))
+        return known, validated_margin(known, clean, s)
 
-    first = fitted(grams, lines)
+    first, enough = fitted(grams, lines)
 
     def suspect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, margin = model_of(first), first.value[1]
+        model = model_of(first)
         for batch in batches:
-            found = [h for hs, ls in zip(batch.column(0), batch.column(1)) if is_damaged(ls.as_py(), model, margin) for h in hs.as_py()]
+            found = [h for hs, ls in zip(batch.column(0), batch.column(1)) if is_damaged(ls.as_py(), model, enough) for h in hs.as_py()]
             yield pa.RecordBatch.from_arrays([pa.array(found, pa.int64())], ["hashes"])
 
     # Lines that stand only in records which the first model finds damaged are taken out of the counts.
@@ -520,10 +584,10 @@ def repair(table: DataFrame, id_col: str, text_col: str, s: Settings = Settings(
     out = runtime.materialise(out, "suspects")
     only = lines.join(out, "hashes").where(F.col("m") >= F.col("n")).select("lines")
     left = grams.unionByName(ngram_counts(only).select("gram", (-F.col("n")).alias("n"))).groupBy("gram").agg(F.sum("n").alias("n")).where(F.col("n") > 0)
-    known = fitted(runtime.materialise(left, "grams"), lines.join(out, "hashes", "left_anti"))
+    known, margin = fitted(runtime.materialise(left, "grams"), lines.join(out, "hashes", "left_anti"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, margin = model_of(known), known.value[1]
+        model = model_of(known)
         for batch in batches:
             ids, restored, whole = [], [], []
             for i, t, sound, lines in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), batch.column(3)):

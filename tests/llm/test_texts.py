@@ -1,5 +1,6 @@
 import random
 import re
+from collections import Counter
 
 import numpy as np
 from pyspark.sql import functions as F
@@ -285,3 +286,29 @@ def test_personal_is_trained_on_every_candidate(spark):
         want[-1] += d
     one, five = (personal.gradient(voted.repartition(n), patterns, weights) for n in (1, 5))
     assert len(each) > 300 and np.abs(one - want).max() < 1e-4 and (one == five).all()
+
+
+def test_garbled_margin_is_validated_on_all_lines(spark):
+    """The margin is that of all clean lines, of which there are more than 800, however they lie over tasks."""
+    texts = [t for _, t in garbled_rows()[0]]
+    lines = [line for t in texts for line in t.split("\n") if garbled.windows(line)]
+    counts = Counter(w[i - k : i + 1] for line in lines for w in garbled.windows(line) for i in range(3, len(w)) for k in range(4))
+    of = garbled.Validation(garbled.Model(counts))
+    rows = [(at * 7919, garbled.NEXT_WINDOW.join(garbled.windows(line))) for at, line in enumerate(lines)]
+    sound, repaired = zip(*(of.line(h, x.split(garbled.NEXT_WINDOW)) for h, x in rows))
+    sound, repaired = sorted(sound), sorted(x for x in repaired if x is not None)
+    high, low = sound[int(len(sound) * 0.995) - 1], repaired[int(len(repaired) * 0.02)]
+    known, df = spark.sparkContext.broadcast(dict(counts)), spark.createDataFrame(rows, "hashes long, lines string")
+    assert len(rows) > 800 and len(repaired) > 100
+    for n in (1, 6):
+        assert abs(garbled.validated_margin(known, df.repartition(n), garbled.Settings()) - min(high + (low - high) / 3, low)) < 1e-9
+    assert garbled.validated_margin(known, df.limit(0), garbled.Settings()) == garbled.Settings().margin
+
+
+def test_garbled_nth_is_exact(spark, monkeypatch):
+    r = random.Random(2)
+    values = [r.choice([0.0, 0.0, r.gauss(0, 1), r.gauss(0, 1e-7), 1e6]) for _ in range(3000)]
+    df = spark.createDataFrame([(v,) for v in values], "v double").repartition(3).cache()
+    monkeypatch.setattr(garbled, "FEW", 4)
+    for n in (0, 7, 1400, 1500, 2100, 2999):
+        assert garbled.nth(df, n, 3000, min(values), max(values)) == sorted(values)[n]
