@@ -312,3 +312,48 @@ def test_garbled_nth_is_exact(spark, monkeypatch):
     monkeypatch.setattr(garbled, "FEW", 4)
     for n in (0, 7, 1400, 1500, 2100, 2999):
         assert garbled.nth(df, n, 3000, min(values), max(values)) == sorted(values)[n]
+
+
+def counted(lines):
+    return Counter(w[i - k : i + 1] for line in lines for w in garbled.windows(line) for i in range(3, len(w)) for k in range(4))
+
+
+def test_garbled_blocks_of_lines_as_brute_force():
+    """Also where only what a window is judged by changes, or where a changed window was certain."""
+    r = random.Random(5)
+    words = "всего года если только т. при этом over so rope für über keel 10 ли го ль".split()
+    clean = [" ".join(r.choice(words) for _ in range(r.randrange(1, 30))) for _ in range(300)]
+    bad = [x.encode("koi8_r", "ignore").decode("cp1251") for x in clean[:40]] + [x.encode("cp1251", "ignore").decode("cp1252") for x in clean[40:80]]
+    model, rarer = garbled.Model(counted(clean + bad[::4])), garbled.Model(counted(clean[100:]))
+    lines = [ws for x in clean + bad if (ws := garbled.windows(x))]
+    for m in (model, rarer):
+        for least in (garbled.NONE, 6.0):
+            got = garbled.best_chains(lines, m, least)
+            for ws, one in zip(lines, got):
+                want = brute_best(ws, m, least)
+                assert (one and round(one[0], 6)) == (want and round(want, 6)), ws
+                assert one == garbled.best_chain(ws, m, least)
+            assert sum(x is not None for x in got) > 30
+
+
+def test_garbled_lines_are_damaged_by_tables(monkeypatch):
+    """What repair gains is as by damaging and undoing each window; but a one-to-one chain reads a table, and a UTF-8 chain
+    damages each run once, however many windows it stands in."""
+    lines = [line for _, t in garbled_rows()[0] for line in t.split("\n")] + ["где été „quoi“ – нет", "R&D&eacute;é café", "�\x81 lost", "日本語 über"]
+    of, calls, damage = garbled.Validation(garbled.Model(counted(lines[::2]))), [], garbled.damage
+    want = []
+    for n, line in enumerate(lines):
+        chain, total, changes = garbled.KNOWN[n % len(garbled.KNOWN)], 0.0, False
+        for w in garbled.windows(line):
+            bad, head = damage(w[3:], chain), damage(w[:3], chain)
+            if not bad or not head or (garbled.apply_chain(bad, chain) or bad) != w[3:]:
+                total = None
+                break
+            changes |= bad != w[3:]
+            total += of.model.window(w) - of.model.changed(head, bad)
+        want.append(total if changes else None)
+    monkeypatch.setattr(garbled, "damage", lambda *x: calls.append(x) or damage(*x))
+    got = [x for _, x in of.lines(list(range(len(lines))), [garbled.windows(x) for x in lines])]
+    assert [x and round(x, 6) for x in got] == [x and round(x, 6) for x in want]
+    assert sum(x is not None for x in got) > 200
+    assert all(chain[1] == "utf-8" for _, chain in calls) and len(calls) < 400, len(calls)
