@@ -1,6 +1,8 @@
 import math
 
 import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from siltstone.operators import fusion, lexical, vector
@@ -69,6 +71,39 @@ def test_bm25_against_brute_force(spark):
     assert all(abs(every[r.query_id, r.chunk_id] - r.score) < 1e-8 for r in got)
 
 
+def test_bm25_bounds_leave_nothing_out(monkeypatch):
+    rng = np.random.default_rng(4)
+    bag = lambda: rng.choice(40, size=rng.integers(1, 9), p=(p := 1 / np.arange(1, 41)) / p.sum())
+    docs = {f"c{i:04d}": bag().tolist() for i in rng.permutation(900)}
+    docs |= {f"{c}-copy": t for c, t in list(docs.items())[::3]}  # ties, also where parts meet
+    weights = {(q, int(t)): float(rng.uniform(0.1, 3)) for q in range(60) for t in set(bag())} | {(60, 0): 0.0, (60, 7): 1.0, (61, 1): -1.0, (61, 2): 0.5, (62, 99): 1.0}
+    rows = pd.DataFrame([(q, f"t{t}", w) for (q, t), w in weights.items()], columns=["bag_no", "term", "weight"])
+    cells = [(c, len(t), [f"t{x}" for x in dict.fromkeys(t)], [t.count(x) for x in dict.fromkeys(t)]) for c, t in docs.items()]
+    batches = [pa.record_batch(list(map(list, zip(*cells[at : at + 170]))), ["chunk_id", "n", "terms", "tfs"]) for at in range(0, len(cells), 170)]
+    want = {}
+    for q in range(63):
+        of = {t: w for (p, t), w in weights.items() if p == q}
+        part = lambda t, x: t.count(x) * 2.5 / (t.count(x) + 1.5 * (0.25 + 0.75 * len(t) / 4))
+        every = [(-round(sum(w * part(t, x) for x, w in of.items() if x in t), 7), c) for c, t in docs.items() if set(of) & set(t)]
+        want[q] = [c for _, c in sorted(every)[:7]]
+    for first, then in ((2_048, 16_384), (20, 130)):
+        monkeypatch.setattr(lexical, "FIRST", first)
+        monkeypatch.setattr(lexical, "ROWS", then)
+        got = {q: [] for q in range(63)}
+        for b in lexical._scored(iter(batches), lexical._packed(rows), 4, 7):
+            for q, c in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                got[q].append(c)
+        assert got == want
+
+
+def test_bm25_passes(spark, monkeypatch):
+    df = spark.createDataFrame([("a", "w1 w2"), ("b", "w2 w3 w4")], "chunk_id string, text string")
+    q = spark.createDataFrame([(i, f"w{i} w2") for i in range(5_000)], "query_id int, query string")
+    passes, write = [], lexical.runtime.materialise
+    monkeypatch.setattr(lexical.runtime, "materialise", lambda df, name: passes.append(name) or write(df, name))
+    assert lexical.bm25(df, q, 1).count() == 5_000 and passes.count("block") == 1
+
+
 def test_exact_and_hashed_neighbours(spark):
     rng = np.random.default_rng(1)
     v = rng.normal(size=(400, 16))
