@@ -96,6 +96,13 @@ def test_bm25_bounds_leave_nothing_out(monkeypatch):
         assert got == want
 
 
+def test_terms_are_found_once(spark):
+    df = spark.createDataFrame([("a", "One two twoThree two"), ("b", None), ("c", " . "), ("d", "")], "chunk_id string, text string")
+    held = lexical.counted(df)
+    assert [(r.chunk_id, r.n, dict(zip(r.terms, r.tfs))) for r in held.collect()] == [("a", 5, {"one": 1, "two": 3, "three": 1})]
+    assert held._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract_all") == 1
+
+
 def test_bm25_passes(spark, monkeypatch):
     df = spark.createDataFrame([("a", "w1 w2"), ("b", "w2 w3 w4")], "chunk_id string, text string")
     q = spark.createDataFrame([(i, f"w{i} w2") for i in range(5_000)], "query_id int, query string")
