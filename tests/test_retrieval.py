@@ -28,6 +28,14 @@ def test_degraded(spark):
     assert fusion.search(chunks(spark).limit(0), q).count() == 0
 
 
+def test_terms_are_counted_once_for_both_kinds(spark, monkeypatch):
+    q = spark.createDataFrame([(7, "zone_id", [1.0, 0.0]), (8, "general", None)], "query_id long, query string, vector array<float>")
+    written, write = [], lexical.runtime.materialise
+    monkeypatch.setattr(lexical.runtime, "materialise", lambda df, name: written.append(name) or write(df, name))
+    top = {(r.query_id, r.chunk_id, r.degraded) for r in fusion.search(chunks(spark), q, 1).collect()}
+    assert top == {(7, "literal-zone", False), (8, "other", True)} and written.count("counted") == 1
+
+
 def test_rrf_ties(spark):
     r = spark.createDataFrame([(1, "x", "b", 1), (1, "x", "a", 2), (1, "y", "a", 1), (1, "y", "b", 2)], "query_id int, retriever string, chunk_id string, rank int")
     got = fusion.rrf(r).orderBy("rank").collect()
