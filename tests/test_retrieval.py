@@ -143,6 +143,23 @@ def test_exact_and_hashed_neighbours(spark):
     assert vector.top_k(df.limit(0), q, 5).count() == 0 and vector.top_k(df, q.limit(0), 5).count() == 0
 
 
+def test_vector_bounds_leave_nothing_out(monkeypatch):
+    rng = np.random.default_rng(2)
+    v = rng.integers(-2, 3, size=(700, 4)).astype(float)  # many ties
+    rows = [list(x) for x in v] + [[1.0], [0.0] * 4]
+    ids = rng.permutation(len(rows))
+    known = [list(x) for x in rng.integers(-2, 3, size=(30, 4)).astype(float)] + [[2.0], [0.0] * 4]
+    unit = lambda x: np.array(x) / (np.linalg.norm(x) or 1)
+    of = lambda q, x: round(float(unit(q) @ unit(x)), 8) + 0.0 if len(q) == len(x) else 0.0
+    batches = [pa.record_batch([pa.array(ids[at : at + 90]), pa.array(rows[at : at + 90])], ["id", "vector"]) for at in range(0, len(rows), 90)]
+    for first, then in ((1_024, 4_096), (10, 33)):
+        monkeypatch.setattr(vector, "FIRST", first)
+        monkeypatch.setattr(vector, "ROWS", then)
+        query, near, _ = vector._scored(iter(batches), known, 6)
+        for n, q in enumerate(known):
+            assert near[query == n].tolist() == [i for _, i in sorted((-of(q, x), int(i)) for i, x in zip(ids, rows))[:6]]
+
+
 def test_compare_is_full_outer(spark):
     a = spark.createDataFrame([(1, "x", 1), (1, "y", 2)], "query_id int, chunk_id string, rank int")
     b = spark.createDataFrame([(1, "z", 1)], "query_id int, chunk_id string, rank int")
