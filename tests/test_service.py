@@ -76,6 +76,14 @@ def test_search(spark, chunks):
     assert service.search(requests(spark, []), chunks, E).hits.count() == 0
 
 
+def test_keywords_alone_need_no_pool(spark, chunks, monkeypatch):
+    asked, search = [], service.lexical.bm25
+    monkeypatch.setattr(service.lexical, "bm25", lambda c, q, k: asked.append(k) or search(c, q, k))
+    rows = [(i, i, "8.8.8.8", False, "zone router of the policy", k) for i, k in enumerate((1, 2, 10))]
+    got = [{(r.query_id, r["rank"], r.chunk_id) for r in service.search(requests(spark, rows), chunks, e).hits.collect()} for e in (None, down)]
+    assert got[0] == got[1] and {i for i, _, _ in got[0]} == {0, 1, 2} and asked == [10, 10]
+
+
 def test_ask(spark, chunks):
     rows = [(1, 0, "8.8.8.8", False, "zone router", 2), (2, 1, "8.8.8.8", False, "router empty", 2), (3, 2, "8.8.8.8", False, "my password", 2), (4, 3, "8.8.8.8", False, "router decline", 2)]
     of = lambda embedder, answerer: {r.query_id: r for r in service.ask(requests(spark, rows), chunks, embedder, answerer).collect()}
