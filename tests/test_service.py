@@ -51,6 +51,13 @@ def test_embedding(spark):
         embedding.embed(df, short, 1).collect()
 
 
+def test_a_term_is_hashed_once(monkeypatch):
+    seen, md5 = [], embedding.hashlib.md5
+    monkeypatch.setattr(embedding.hashlib, "md5", lambda x: seen.append(x) or md5(x))
+    a, b = E(["hashedonce hashedonce", "hashedonce"])
+    assert a == b and sum(abs(x) for x in a) == 1 and len(seen) == 1
+
+
 def test_decisions(spark):
     rows = [(1, 0, "8.8.8.8", False, "router", 5), (2, 1, "8.8.8.8", False, "my password", 5), (3, 2, "8.8.8.8", False, "backup", None), (4, 3, "8.8.8.8", False, "router", 5), (5, 3, "9.9.9.9", True, "", 5), (6, 4, "10.0.0.1", True, "my password", 50), (7, 4, "10.0.0.1", True, "my password", 2), (8, 9, None, None, None, 1)]
     s = Settings(rate_limit_per_hour=3)
